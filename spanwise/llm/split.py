@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "forced", "end")
 #: penalty of a cut of each kind
@@ -97,8 +98,8 @@ def cut_positions(text: str, limit: int = 700, overlap: int = 100) -> list[tuple
     return out[::-1]
 
 
-def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 700, overlap: int = 100) -> DataFrame:
-    """Pieces of the texts longer than ``limit``, see the module."""
+def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 700, overlap: int = 100, with_piece: bool = True) -> DataFrame:
+    """Pieces of the texts longer than ``limit``, see the module; ``with_piece`` False leaves their text out."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     kind = dict(df.dtypes)[key]
@@ -106,15 +107,13 @@ def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (key_, no, s, e, KINDS[kd], t[s:e])
+                (key_, no, s, e, KINDS[kd], *([t[s:e]] if with_piece else []))
                 for key_, t in zip(b["__key"], b["__text"], strict=True)
                 for no, (s, e, kd) in enumerate(cut_positions(t, limit, overlap))
             ]
-            yield pd.DataFrame(rows, columns=[key, "piece_no", "piece_start", "piece_end", "boundary", "piece"])
-
-    from pyspark.sql import functions as F
+            yield pd.DataFrame(rows, columns=[key, "piece_no", "piece_start", "piece_end", "boundary", *(["piece"] if with_piece else [])])
 
     long = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text") > limit)
-    return long.mapInPandas(run, f"`{key}` {kind}, piece_no int, piece_start int, piece_end int, boundary string, piece string")
+    return long.mapInPandas(run, f"`{key}` {kind}, piece_no int, piece_start int, piece_end int, boundary string" + (", piece string" if with_piece else ""))
 
 
