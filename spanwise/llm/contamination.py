@@ -45,19 +45,19 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, altered: int = 2,
         raise ValueError("window too short for that many altered words")
     it = items.select(F.col(item).alias("__i"), skeleton_words(F.col(text)).alias("__iw")).distinct().where(F.size("__iw") >= window)
     it = cut(it)
-    places = it.select("__i", F.size("__iw").alias("__n"), F.posexplode(_shingles("__iw")).alias("__p", "__h"))
+    places = it.select("__i", F.size("__iw").alias("__n"), F.posexplode_outer(_shingles("__iw")).alias("__p", "__h"))
     small = places.count() <= BROADCAST_ROWS
     side = F.broadcast if small else (lambda x: x)
 
     d = docs.select(F.col(key).alias("__d"), skeleton_words(F.col(text)).alias("__w")).where(F.size("__w") >= window)
-    seen = d.select("__d", F.size("__w").alias("__dn"), F.posexplode(_shingles("__w")).alias("__dp", "__h"))
+    seen = docs.select(F.col(key).alias("__d"), skeleton_words(F.col(text)).alias("__w")).select("__d", F.size("__w").alias("__dn"), F.posexplode_outer(_shingles("__w")).alias("__dp", "__h"))
     hits = cut(seen.join(side(places.select("__h").distinct()), "__h"))
 
     # rarity over the whole corpus, then the necessary prefix of each window
     counts = hits.groupBy("__h").count()
     ranked = places.join(side(counts) if small else counts, "__h", "left").select("__i", "__n", "__p", "__h", F.coalesce("count", F.lit(0)).alias("__c"))
     inside = window - SHINGLE + 1
-    starts = ranked.withColumn("__s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("__p") - inside + 1), F.least(F.col("__p"), F.col("__n") - window))))
+    starts = ranked.withColumn("__s", F.explode_outer(F.sequence(F.greatest(F.lit(0), F.col("__p") - inside + 1), F.least(F.col("__p"), F.col("__n") - window))))
     order = Window.partitionBy("__i", "__s").orderBy("__c", "__h", "__p")
     prefix = starts.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= inside - need + 1).select("__i", "__n", "__p", "__h").distinct()
     room = lambda dp, dn, p, n: F.least(dp, p) + F.least(dn - dp, n - p)  # noqa: E731  length of the diagonal
@@ -73,7 +73,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, altered: int = 2,
     dense = on.withColumn("__far", F.lead("__dp", need - 1).over(line) - F.col("__dp")).where(F.col("__far") < inside).select("__d", "__i", "__g").distinct()
     pairs = found.join(dense, ["__d", "__i", "__g"]).groupBy("__d").agg(F.collect_set(F.struct("__i", "__g")).alias("__x"))
 
-    both = d.join(pairs, "__d").select("__d", "__w", F.explode("__x").alias("x")).select("__d", "__w", "x.__i", "x.__g").join(side(it), "__i")
+    both = d.join(pairs, "__d").select("__d", "__w", F.explode_outer("__x").alias("x")).select("__d", "__w", "x.__i", "x.__g").join(side(it), "__i")
     low, high = F.greatest(F.lit(0), -F.col("__g")), F.least(F.size("__iw"), F.size("__w") - F.col("__g")) - 1
     same = F.transform(F.sequence(low, high), lambda i: (F.get("__iw", i) == F.get("__w", i + F.col("__g"))).cast("int"))
     both = both.where(high - low + 1 >= window).withColumn("__m", same)

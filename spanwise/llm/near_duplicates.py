@@ -54,10 +54,10 @@ def word_sets(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
 
 def similar_sets(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity), a < b: classes whose sets are similar."""
-    counts = classes.select(F.explode("words").alias("w")).groupBy("w").count()
+    counts = classes.select(F.explode_outer("words").alias("w")).groupBy("w").count()
     ranked = (
         classes.where(F.size("words") >= 3)  # smaller sets are similar only to equal ones at 0.7 and more
-        .select("cid", F.explode("words").alias("w"))
+        .select("cid", F.explode_outer("words").alias("w"))
         .join(counts, "w")
         .groupBy("cid")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("count").alias("c"), "w"))).alias("r"))
@@ -69,7 +69,7 @@ def similar_sets(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
     ranked = cut(ranked.select("cid", n.alias("n"), F.slice("r", 1, base + COMBO).alias("p"), F.slice("r", 1, base + LONG_COMBO).alias("q")))
     rare = F.transform(F.filter("p", lambda x: x["c"] <= RARE), lambda x: F.xxhash64(F.lit(1).cast("bigint"), x["w"]))
     frequent = ranked.withColumn("f", F.transform(F.filter("p", lambda x: x["c"] > RARE), lambda x: x["w"]))
-    short = frequent.select("cid", "n", F.explode(F.concat(rare, F.when(F.size("f") >= COMBO, _combos("f", COMBO)).otherwise(F.array().cast("array<bigint>")))).alias("key"))
+    short = frequent.select("cid", "n", F.explode_outer(F.concat(rare, F.when(F.size("f") >= COMBO, _combos("f", COMBO)).otherwise(F.array().cast("array<bigint>")))).alias("key"))
     short = cut(short.distinct())
     load = short.groupBy("key").count().where(F.col("count") > 1)
     live = short.join(load, "key")  # keys that only one set has make no candidate
@@ -79,7 +79,7 @@ def similar_sets(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
         ranked.join(crowded.select("cid").distinct(), "cid", "left_semi")
         .withColumn("g", F.transform("q", lambda x: x["w"]))
         .where(F.size("g") >= LONG_COMBO)
-        .select("cid", "n", F.explode(_combos("g", LONG_COMBO)).alias("key"))
+        .select("cid", "n", F.explode_outer(_combos("g", LONG_COMBO)).alias("key"))
     )
     calm = live.where((F.col("count") <= CROWDED) | (F.col("n") < least_long + math.ceil(least_long * (1 / threshold - 1)) + 1)).select("cid", "n", "key")
     keys = calm.unionByName(long)

@@ -140,7 +140,8 @@ def unit_offsets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
 def sentence_units(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per sentence unit, see the module. Of the input's columns only ``keep`` is carried."""
-    out = unit_offsets(df, text, keep).select(*keep, "__t", F.explode("__u").alias("u"))
+    # the outer generator keeps the planner from working all expressions out once more in a filter below it
+    out = unit_offsets(df, text, keep).select(*keep, "__t", F.explode_outer("__u").alias("u"))
     piece = F.expr("substring(__t, u.s + 1, u.n)")
     lead = F.length(piece) - F.length(F.regexp_replace(piece, F.lit(r"(?U)^\s+"), F.lit("")))
     out = out.select(*keep, (F.col("u.s") + lead).alias("sent_start"), F.regexp_replace(piece, F.lit(r"(?U)^\s+|\s+$"), F.lit("")).alias("sentence"))
