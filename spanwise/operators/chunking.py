@@ -28,8 +28,12 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, pieces: str, chunking: str) -> DataFrame:
-    """One row per element of an array of (heading_path, body)."""
-    return df.select(F.lit(chunking).alias("chunking"), "doc_id", F.posexplode(pieces).alias("chunk_no", "p"), "title", "url").select(
+    """One row per element of an array of (heading_path, body).
+
+    The outer generator and the filter behind it keep the planner from copying the whole array expression into a
+    filter below the generator, where it would be worked out once more.
+    """
+    return df.select(F.lit(chunking).alias("chunking"), "doc_id", F.posexplode_outer(pieces).alias("chunk_no", "p"), "title", "url").where(F.col("p").isNotNull()).select(
         "chunking", "doc_id", "chunk_no", "title", "url", F.col("p.heading_path"), F.col("p.body")
     )
 
@@ -90,7 +94,7 @@ def sections(docs: DataFrame) -> DataFrame:
         return F.struct(now.alias("open"), F.concat(a["paths"], F.array(F.array_join(F.concat(F.array(F.coalesce("title", F.lit(""))), now), " > "))).alias("paths"))
 
     d = d.withColumn("paths", F.concat(F.array(F.coalesce("title", F.lit(""))), F.aggregate(heads, zero, step, lambda a: a["paths"])))
-    cut = d.select("doc_id", "title", "url", F.posexplode(F.arrays_zip("paths", "bodies")).alias("section_no", "x"))
+    cut = d.select("doc_id", "title", "url", F.posexplode_outer(F.arrays_zip("paths", "bodies")).alias("section_no", "x"))
     return cut.select("doc_id", "title", "url", "section_no", F.col("x.paths").alias("heading_path"), _trim(F.col("x.bodies")).alias("section")).where(F.length("section") > 0)
 
 

@@ -18,7 +18,7 @@ def _pieces(c: Column) -> Column:
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(fold, form): the most frequent form of each ASCII fold; of equally frequent ones the first in the corpus' order."""
-    words = docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(F.regexp_extract_all(turkish_lower(F.col(text)), F.lit(f"({WORD})"), F.lit(1))).alias("pos", "form"))
+    words = docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode_outer(F.regexp_extract_all(turkish_lower(F.col(text)), F.lit(f"({WORD})"), F.lit(1))).alias("pos", "form")).where("form is not null")
     n = words.groupBy("form").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     w = Window.partitionBy("fold").orderBy(F.desc("n"), "first")
     return n.withColumn("fold", fold_ascii(F.col("form"))).withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).select("fold", "form")
