@@ -434,7 +434,7 @@ def groundedness_stub(spark: SparkSession, where: str) -> DataFrame:
 def abstention_flips(spark: SparkSession, where: str) -> DataFrame:
     a = answers(spark, where)
     m = [r["model"] for r in a.select("model").distinct().orderBy("model").head(2)]
-    return gr.flips(a, "model", m[0], m[-1], ["span_retrieved"])
+    return gr.flips(a, "model", m[0], m[-1], [])
 
 
 @query

@@ -34,7 +34,7 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 def _composites() -> list[tuple[str, str]]:
     out = []
-    for base in "aceginosuyACEGINOSUY":
+    for base in "aceginosuyACEGINOSUYеиЕИ":
         for mark in "̧̀́̂̃̆̇̈":
             whole = unicodedata.normalize("NFC", base + mark)
             if len(whole) == 1:

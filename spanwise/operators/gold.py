@@ -128,7 +128,7 @@ def kappa_by_chunking(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.select("chunking", "doc_id", normalise(F.col("body")).alias("t"))
     j = c.join(sides, "doc_id").select("chunking", "key", "qid_a", "qid_b", F.coalesce(F.contains("t", "a"), F.lit(False)).cast("int").alias("x"), F.coalesce(F.contains("t", "b"), F.lit(False)).cast("int").alias("y"))
     g = j.groupBy("chunking", "key", "qid_a", "qid_b").agg(F.count("*").cast("double").alias("n"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("s"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return g.select("chunking", "key", "qid_a", "qid_b", F.round(kappa(F.col("n"), F.col("s"), F.col("x"), F.col("y")), 6).alias("kappa"))
+    return g.select("chunking", "key", "qid_a", "qid_b", (F.round(kappa(F.col("n"), F.col("s"), F.col("x"), F.col("y")), 6) + F.lit(0.0)).alias("kappa"))
 
 
 def agreement(pairs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

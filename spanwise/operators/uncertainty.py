@@ -52,7 +52,7 @@ def bootstrap_sql(df: DataFrame, by: list[str], value: str, key: str, resamples:
         w = w + F.when(u > total, 1).otherwise(0)
         term /= i
     draws = df.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", w)
-    means = draws.groupBy(*by, "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    means = draws.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w").cast("double")).alias("m"))
     return means.groupBy(*by).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 

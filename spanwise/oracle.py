@@ -61,7 +61,7 @@ def bm25(stem: int | None, k: int, fill: bool = True, questions: str = "roots",
     return f + f""",
 {n}_first AS (SELECT doc_id, chunk_no FROM chunk700 ORDER BY doc_id, chunk_no LIMIT {2 * k}),
 {n}_short AS (SELECT qid FROM (SELECT DISTINCT qid FROM {questions}) LEFT JOIN (SELECT qid, count(*) FILTER (score > 0) AS pos FROM {n}_m GROUP BY qid) USING (qid) WHERE coalesce(pos, 0) < {k}),
-{n}_all AS (SELECT qid, doc_id, chunk_no, score FROM {n}_m UNION ALL SELECT qid, doc_id, chunk_no, 0.0::DOUBLE FROM {n}_short, {n}_first ANTI JOIN (SELECT qid, doc_id, chunk_no FROM {n}_m) USING (qid, doc_id, chunk_no)),
+{n}_all AS (SELECT qid, doc_id, chunk_no, score FROM {n}_m UNION ALL SELECT qid, doc_id, chunk_no, 0.0::DOUBLE FROM (SELECT * FROM {n}_short, {n}_first) ANTI JOIN (SELECT qid, doc_id, chunk_no FROM {n}_m) USING (qid, doc_id, chunk_no)),
 {n} AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_no) AS rank, doc_id, chunk_no, score FROM {n}_all) WHERE rank <= {k})"""
 
 
@@ -89,7 +89,7 @@ MRR = "CASE WHEN list_position(relevance, true) > 0 THEN 1.0::DOUBLE / list_posi
 
 
 def means(names: dict[str, str]) -> str:
-    return ", ".join(f"round(coalesce(avg({e}) FILTER (total_relevant > 0), 0.0), 6) AS {n}" for n, e in names.items())
+    return ", ".join(f"round(coalesce(avg({e}) FILTER (total_relevant > 0), 0.0) + 1e-10::DOUBLE, 6) AS {n}" for n, e in names.items())
 
 
 _ALL = {"mrr": MRR} | {f"{n}_at_{k}": f(k) for n, f in (("ndcg", ndcg), ("recall", recall), ("precision", precision)) for k in (1, 3, 5, 10)}
@@ -99,7 +99,7 @@ pairs AS (SELECT a.key, a.qid AS qid_a, b.qid AS qid_b, a.doc_id AS doc_id_a, a.
 _IOU = f"CASE WHEN len(list_distinct(list_concat({toks('sa')}, {toks('sb')}))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_distinct({toks('sa')}), {toks('sb')}))::DOUBLE / len(list_distinct(list_concat({toks('sa')}, {toks('sb')}))) END"
 _F1 = "CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0) / (len(x) + len(y)) END"
 _NA, _NB = norm("sa"), norm("sb")
-_STRESS_UP = "replace(replace(replace(replace(replace(upper(translate(question, 'iı', 'İI')), 'ﬁ', 'FI'), 'ﬂ', 'FL'), 'ﬀ', 'FF'), 'ﬃ', 'FFI'), 'ﬄ', 'FFL')"
+_STRESS_UP = "upper(translate(question, 'iı', 'İI'))"
 _CORRECT = "coalesce(relevance[1], false)"
 _CURVE = f"""r AS (SELECT top_score AS score, {_CORRECT} AS correct FROM pq WHERE top_score IS NOT NULL),
 t AS (SELECT unnest(range(0, 21)) AS t),
@@ -185,7 +185,7 @@ SELECT qid_a, qid_b, round({_IOU}, 6) AS iou, round({_F1}, 6) AS token_f1, ({_NA
 SELECT count(*) AS questions, sum(pairs)::BIGINT AS pairs, round(avg(iou), 6) AS mean_iou, round(avg(f1), 6) AS mean_token_f1 FROM p""",
     "kappa_per_chunking": f"""WITH {_GOLD}, {fixed()}, {_PAIRS}, j AS (SELECT qid_a, qid_b, coalesce(contains({norm('body')}, {_NA}), false)::INT AS x, coalesce(contains({norm('body')}, {_NB}), false)::INT AS y FROM pairs JOIN chunk700 ON doc_id = doc_id_a),
 c AS (SELECT qid_a, qid_b, count(*)::DOUBLE AS n, sum((x = y)::INT)::DOUBLE AS s, sum(x)::DOUBLE AS x, sum(y)::DOUBLE AS y FROM j GROUP BY ALL), e AS (SELECT *, x / n * (y / n) + (1 - x / n) * (1 - y / n) AS pe FROM c)
-SELECT qid_a, qid_b, round(CASE WHEN pe >= 1.0 THEN 1.0::DOUBLE ELSE (s / n - pe) / (1 - pe) END, 6) AS kappa FROM e""",
+SELECT qid_a, qid_b, round(CASE WHEN pe >= 1.0 THEN 1.0::DOUBLE ELSE (s / n - pe) / (1 - pe) END, 6) + 0.0::DOUBLE AS kappa FROM e""",
     "check_draft": f"""WITH {_GOLD} SELECT DISTINCT qid, CASE WHEN NOT coalesce(ends_with(trim(question), '?'), false) THEN 'no_question_mark' WHEN coalesce(trim(answer_span), '') = '' THEN 'empty_span' WHEN length(trim(answer_span)) < 20 THEN 'short_span' WHEN length(trim(answer_span)) > 400 THEN 'long_span'
 WHEN NOT coalesce(contains({norm('text')}, {norm('trim(answer_span)')}), false) THEN 'not_verbatim' WHEN {overlap('trim(question)', 'trim(answer_span)')} > 0.6 THEN 'copied' END AS problem FROM g0 JOIN documents USING (doc_id)""",
     "groundedness_rates": f"""WITH a AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM answers) SELECT model, count(*) AS queries, count(*) FILTER ({_FOUND}) AS span_retrieved, count(*) FILTER (NOT {_FOUND}) AS span_not_retrieved,

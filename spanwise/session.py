@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session's executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spanwise-")) / "spanwise.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive plans, UTC and Arrow; on a cluster leave ``master`` and ``partitions`` to spark-submit."""
@@ -22,4 +42,6 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         settings["spark.sql.shuffle.partitions"] = str(partitions)
     for k, v in (settings | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
