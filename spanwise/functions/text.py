@@ -103,9 +103,9 @@ def text_digest(c: Column) -> Column:
 
 
 def stress_variants(c: Column) -> dict[str, Column]:
-    """Rewrites that typed questions suffer."""
+    """Rewrites that typed questions suffer. (Lower case right on upper case would be simplified to lower case alone.)"""
     caps = F.upper(F.translate(c, "iı", "İI"))
-    return {"original": c, "ascii": fold_ascii(c), "caps": caps, "naive_lower": F.lower(caps)}
+    return {"original": c, "ascii": fold_ascii(c), "caps": caps, "naive_lower": F.lower(F.replace(caps, F.lit("\x00"), F.lit("")))}
 
 
 def overlap(question: Column, span: Column) -> Column:
