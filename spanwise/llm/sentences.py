@@ -40,11 +40,9 @@ ABBREVIATIONS = {
 _WORDS = sorted({w for v in ABBREVIATIONS.values() for w in v.split()}, key=lambda w: (-len(w), w))
 _Q = 300  # code units a quotation may hold at most, a bound for the look-around
 
-_QUOTED = (
-    rf"(?:(?=[^“”\n]{{0,{_Q}}}”)|(?=[^«»\n]{{0,{_Q}}}»)|(?=[^「」\n]{{0,{_Q}}}」)|(?=[^『』\n]{{0,{_Q}}}』)"
-    rf"|(?=[^„“”\n]{{0,{_Q}}}[“”])(?<=„[^„“”\n]{{0,{_Q}}})"
-    rf"|(?=\n?[^“”\n]{{0,{_Q}}}\n[^“”\n]{{1,{_Q}}}”)|(?=[^«»\n]{{0,{_Q}}}\n[^«»\n]{{1,{_Q}}}»))"
-)
+_NO_QUOTE = rf"[^“”„«»「」『』\n]{{0,{_Q}}}+"
+#: the next quotation mark is a closing one, on this line or the next (a “ closes what „ opened)
+_QUOTED = rf"(?={_NO_QUOTE}(?:\n(?!\s*\n){_NO_QUOTE})?(?:[”»」』]|“(?<=„[^„“”]{{0,{2 * _Q}}}“)))"
 
 
 def _abbr() -> str:
