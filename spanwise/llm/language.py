@@ -31,7 +31,7 @@ from .sentences import unit_offsets
 #: documents of each label whose sentences train the model, at most
 PER_LABEL = 150
 #: sentences of each language used as landmarks, at most, and for the fit
-LANDMARKS, FIT = 60, 600
+LANDMARKS, FIT = 40, 400
 BITS = 18
 SIZES = (1, 2, 3, 4)
 RIDGE = 1e-2
@@ -125,9 +125,14 @@ def fit(texts: list[str], labels: list[str], langs: list[str]) -> Model:
     marks = np.flatnonzero(rank < LANDMARKS)
     column = np.full(len(texts), -1)
     column[marks] = np.arange(len(marks))
-    dense = np.zeros((1 << BITS, len(marks)), dtype=np.float32)
     on = column[who] >= 0
-    dense[gram[on], column[who[on]]] = 1.0 / size[who[on]]
+    have = np.unique(gram[on])  # only grams of landmarks count: their rows, not 2 ** BITS of them
+    dense = np.zeros((len(have), len(marks)), dtype=np.float32)
+    dense[np.searchsorted(have, gram[on]), column[who[on]]] = 1.0 / size[who[on]]
+    at = np.searchsorted(have, gram)
+    at[at == len(have)] = 0
+    known = have[at] == gram
+    who, gram = who[known], at[known]
     first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
     ends = np.r_[first[1:], len(who)]
     k = np.zeros((len(texts), len(marks)), dtype=np.float64)
@@ -138,7 +143,9 @@ def fit(texts: list[str], labels: list[str], langs: list[str]) -> Model:
     z = k @ root
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, 0.0)
     beta = np.linalg.solve(z.T @ z + RIDGE * len(texts) / len(langs) * np.eye(z.shape[1]), z.T @ target)
-    return Model(langs, (dense @ (root @ beta).astype(np.float32)).astype(np.float32))
+    table = np.zeros((1 << BITS, len(langs)), dtype=np.float32)
+    table[have] = dense @ (root @ beta).astype(np.float32)
+    return Model(langs, table)
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = PER_LABEL) -> Model | None:
