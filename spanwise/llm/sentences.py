@@ -17,6 +17,8 @@ expressions and offsets are summed in blocks.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,10 @@ assert len(_TERMS) == len(_HIDDEN)
 
 # Abbreviations after which a full stop does not end a sentence, by language.
 ABBREVIATIONS = {
-    "tr": "dr prof doç yrd öğr av bkz örn orn vb vs sn st alb cad sok mah no age çev yay yy hz krş çoğ tel bşk",
-    "en": "dr mr mrs ms prof st sr jr vs etc fig figs eq no nos vol pp ed eds approx dept est inc ltd co e.g i.e cf al u.s u.k a.m p.m ph.d",
+    "tr": "dr prof doç yrd öğr av bkz örn orn vb vs sn st alb cad sok mah no çev yy hz krş çoğ tel bşk",
+    "en": "dr mr mrs ms prof st sr jr vs etc fig figs eq no nos vol pp ed eds approx dept est inc ltd co e.g i.e cf u.s u.k a.m p.m ph.d",
     "de": "dr prof hr fr usw bzw ca evtl ggf vgl nr str z.b d.h u.a o.ä inkl zzgl bspw",
-    "fr": "dr mme mlle mm prof etc env ex p.ex c.-à-d av no vol chap",
+    "fr": "dr mme mlle mm prof etc env p.ex c.-à-d av no vol chap",
     "es": "dr dra sr sra srta prof etc pág núm ud uds p.ej av aprox ee.uu",
     "az": "dr prof məs və.s b.k akad c.n",
     "ru": "г гг т д е п др пр см рис стр тыс млн млрд им ул проф акад руб коп св вв",
@@ -45,8 +47,18 @@ _NO_QUOTE = rf"[^“”„«»「」『』\n]{{0,{_Q}}}+"
 _QUOTED = rf"(?={_NO_QUOTE}(?:\n(?!\s*\n){_NO_QUOTE})?(?:[”»」』]|“(?<=„[^„“”]{{0,{2 * _Q}}}“)))"
 
 
+def _any_width(c: str) -> str:
+    """A character of an abbreviation, composed or not, of either width; a full stop may be hidden already."""
+    if c == ".":
+        return rf"[.{_HIDDEN[0]}]?\s?"
+    apart = unicodedata.normalize("NFD", c)
+    if apart != c:
+        return f"(?:{c}|{apart})"
+    return f"[{c}{chr(ord(c) + 0xFEE0)}]" if "a" <= c <= "z" else c.replace("-", r"\-")
+
+
 def _abbr() -> str:
-    words = "|".join(w.replace(".", rf"[.{_HIDDEN[0]}]?\s?") for w in _WORDS)
+    words = "|".join("".join(_any_width(c) for c in w) for w in _WORDS)
     return rf"(?iu)\.(?<=(?:^|[^\p{{L}}\p{{M}}\p{{N}}])(?:{words})\.)"
 
 
@@ -93,7 +105,7 @@ def _marks(c: Column) -> Column:
     c = _re(c, rf"(?U)((?:{term}|[-]+[\"”’»」』“]){close}[ \t]*(?:\r\n|\n|\r))(?![])(?=\s*(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Nd}}¿¡“«„「*•\"(-]))", "$1" + MARK)
     # an open line that another unit follows: a capital, a figure or an opening mark starts it, or a record stands before
     c = _re(c, r"(?U)((?:\r\n|\n|\r))(?=[ \t]*[\p{Lu}\p{Lt}¿¡“«„「])", "$1" + MARK)
-    c = _re(c, r"(?U)(\r?\n|\r)(?<=[^\s.,;:!?]{20}\r?[\n\r])(?=[ \t]*\S)", "$1" + MARK)
+    c = _re(c, r"(?U)(\r?\n|\r)(?<=[^\s.,;:!?/]{20}\r?[\n\r])(?=[ \t]*\S)", "$1" + MARK)
     c = _re(c, r"(?U)([฀-๿\p{Nd}][ \t]*(?:\r\n|\n|\r))(?=[ \t]*[฀-๿])", "$1" + MARK)
     # terminators of scripts with spaces: white space follows, or the next sentence stands right behind
     c = _re(c, rf"(?U)((?:{term})+{close}\s+)", "$1" + MARK)
