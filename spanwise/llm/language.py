@@ -38,7 +38,7 @@ RIDGE = 1e-2
 ROUNDS = 3
 #: sentences scored at once
 CHUNK = 8192
-SHARP, SWITCH, LEAST = 9.0, 3.0, 0.02
+SHARP, SWITCH, LEAST = 9.0, 2.5, 0.004
 
 # Codes a label may stand for in another spelling.
 ALIASES = {
