@@ -14,3 +14,15 @@ def cut(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanwise-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """The frame in at least ``per_core`` partitions a core, for work that costs far more than a shuffle of its input.
+
+    A large table has more partitions than that and passes untouched; only a plan without exchanges is looked at,
+    as counting the partitions of another would run its stages.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+        return df
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
