@@ -239,7 +239,7 @@ def segments(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 spans.append(mine)
             rows = []
             score = m.scores(texts) if m is not None and texts else None
-            bare = np.array([_bare(x) for x in texts])
+            bare = np.array([_bare(x) for x in texts], dtype=bool)
             for heads, mine in zip(b[cols].itertuples(index=False), spans, strict=True):
                 if not mine:
                     continue
@@ -247,7 +247,7 @@ def segments(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
                     rows.append((*heads, 0, 1, mine[0][0], "und", 0.0))
                     continue
                 a, z = mine[0][1], mine[-1][1] + 1
-                path, conf = decode(score[a:z], bare[a:z])
+                path, conf = decode(score[a:z], bare[a:z] & ~bare[a:z].all())  # units that tell little count where there are no others
                 cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                 for no, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     c = conf[i:j][~np.isnan(conf[i:j])]

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
+
 # Letters of Cyrillic and Greek that look like a Latin one.
 CYRILLIC_LATIN = ("АВЕЅІЈКМНОРСТУХЎЗГԚԜаеѕіјкорсухһԁԛԝӏгпԍ", "ABESIJKMHOPCTYXY3rQWaesijkopcyxhdqwlrng")
 GREEK_LATIN = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγηικνορτυχω", "ABEZHIKMNOPTYXaynikvoptuxw")
@@ -175,7 +177,7 @@ def departing_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         for b in batches:
             yield b.loc[[t.departs(x) for x in b["t"]], ["row_key", "field"]]
 
-    long = df.select(F.col(key).cast("string").alias("row_key"), F.explode(kinds).alias("x")).select("row_key", "x.field", "x.t")
+    long = spread(df.select(key, *fields)).select(F.col(key).cast("string").alias("row_key"), F.explode(kinds).alias("x")).select("row_key", "x.field", "x.t")
     # ASCII cannot depart: those rows never reach Python
     return long.where(F.col("t").rlike(r"[^\x00-\x7f]")).mapInPandas(run, "row_key string, field string")
 

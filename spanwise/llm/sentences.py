@@ -22,6 +22,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
+
 MARK = ""
 _TERMS = ".!?…。！？।॥؟۔｡"
 _HIDDEN = ""
@@ -132,7 +134,7 @@ def unit_offsets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     Texts without letters (null and empty ones too) are left out.
     """
-    base = df.select(*[F.col(k) for k in keep], F.col(text).alias("__t")).where(F.col("__t").rlike(r"\p{L}"))
+    base = spread(df.select(*[F.col(k) for k in keep], F.col(text).alias("__t")).where(F.col("__t").isNotNull())).where(F.col("__t").rlike(r"\p{L}"))
     c = base.withColumn("__m", _list_lines_whole(mark_boundaries(F.col("__t"))))
     c = c.withColumn("__p", F.transform(F.split("__m", MARK, -1), lambda p: F.length(p))).drop("__m")
     block = 64  # running sums in two steps, so that their cost stays far from quadratic in the pieces

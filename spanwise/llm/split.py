@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
+
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "forced", "end")
 #: penalty of a cut of each kind
 PENALTY = (0.0, 0.05, 0.1, 0.45, 1.0, 50.0, 0.0)
@@ -114,6 +116,6 @@ def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limi
             yield pd.DataFrame(rows, columns=[key, "piece_no", "piece_start", "piece_end", "boundary", *(["piece"] if with_piece else [])])
 
     long = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text") > limit)
-    return long.mapInPandas(run, f"`{key}` {kind}, piece_no int, piece_start int, piece_end int, boundary string" + (", piece string" if with_piece else ""))
+    return spread(long).mapInPandas(run, f"`{key}` {kind}, piece_no int, piece_start int, piece_end int, boundary string" + (", piece string" if with_piece else ""))
 
 

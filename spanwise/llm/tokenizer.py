@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
+
 #: the pre-splitting rule of the vocabulary (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -171,7 +173,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             yield pd.DataFrame({key: b["__key"], "ids": [a.encode(t) for t in b["__text"]]})
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = DEFAULT_PATH) -> DataFrame:
