@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +25,15 @@ MODEL_PREFIXES = {
     "google/embeddinggemma-300m": ("task: search result | query: ", "title: none | text: "),
 }
 WS = r"[\s\p{Z}]"
-GLUE = ""
+GLUE = "\ue01f"  # stands for white space that ends no sentence
 HEADING = r"(?mdU)^(={2,6})\s*(.+?)\s*\1$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, where ``use`` names it inside the lambda of another function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sub(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
@@ -123,14 +129,16 @@ def span_iou(a: Column, b: Column) -> Column:
 
 def span_f1(a: Column, b: Column) -> Column:
     """F1 of the stems as bags; 1.0 for two empty ones, 0.0 for one."""
-    x, y = tokenize(a), tokenize(b)
 
     def times(bag: Column, w: Column) -> Column:
         return F.size(F.filter(bag, lambda v: v == w))
 
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, w: n + F.least(times(x, w), times(y, w)))
-    total = F.size(x) + F.size(y)
-    return F.when(total == 0, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * common / total)
+    def score(x: Column, y: Column) -> Column:
+        common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, w: n + F.least(times(x, w), times(y, w)))
+        total = F.size(x) + F.size(y)
+        return F.when(total == 0, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * common / total)
+
+    return let(tokenize(a), lambda x: let(tokenize(b), lambda y: score(x, y)))
 
 
 def passes_agree(a: Column, b: Column, least: float = 0.5) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADING, WS, split_sentences
+from ..functions.text import HEADING, WS, let, split_sentences
 
 LEAST = 50
 STRATEGIES = ("fixed", "sentence", "hierarchical")
@@ -61,10 +61,13 @@ def _pack(sentences: Column, size: int) -> Column:
             (a["i"] + 1).alias("i"),
         )
 
-    cuts = F.aggregate(sentences, start, step, lambda a: a["cuts"])
-    n = F.size(sentences)
-    bodies = F.transform(cuts, lambda c, i: F.array_join(F.slice(sentences, c + 1, F.coalesce(F.get(cuts, i + 1), n) - c), " "))
-    return F.filter(bodies, lambda b, i: (i < F.size(bodies) - 1) | (F.length(b) > LEAST))
+    def bodies(s: Column, cuts: Column) -> Column:
+        return F.transform(cuts, lambda c, i: F.array_join(F.slice(s, c + 1, F.coalesce(F.get(cuts, i + 1), F.size(s)) - c), " "))
+
+    def kept(b: Column) -> Column:
+        return F.filter(b, lambda x, i: (i < F.size(b) - 1) | (F.length(x) > LEAST))
+
+    return let(sentences, lambda s: let(F.aggregate(s, start, step, lambda a: a["cuts"]), lambda c: let(bodies(s, c), kept)))
 
 
 def _sentences(text: Column) -> Column:
