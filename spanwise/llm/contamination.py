@@ -22,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, spread
 from .lookalike import skeleton_words
 
 SHINGLE = 3
 #: item shingles up to which the item side is broadcast; beyond, the join shuffles
 BROADCAST_ROWS = 2_000_000
+#: candidate documents up to which their ids are broadcast to the texts; beyond, the join shuffles
+BROADCAST_PAIRS = 200_000
 
 
 def _shingles(words: str) -> Column:
@@ -49,8 +51,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, altered: int = 2,
     small = places.count() <= BROADCAST_ROWS
     side = F.broadcast if small else (lambda x: x)
 
-    d = docs.select(F.col(key).alias("__d"), skeleton_words(F.col(text)).alias("__w")).where(F.size("__w") >= window)
-    seen = docs.select(F.col(key).alias("__d"), skeleton_words(F.col(text)).alias("__w")).select("__d", F.size("__w").alias("__dn"), F.posexplode_outer(_shingles("__w")).alias("__dp", "__h"))
+    seen = spread(docs.select(key, text)).select(F.col(key).alias("__d"), skeleton_words(F.col(text)).alias("__w")).select("__d", F.size("__w").alias("__dn"), F.posexplode_outer(_shingles("__w")).alias("__dp", "__h"))
     hits = cut(seen.join(side(places.select("__h").distinct()), "__h"))
 
     # rarity over the whole corpus, then the necessary prefix of each window
@@ -71,9 +72,12 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, altered: int = 2,
     on = hits.join(side(places), "__h").select("__d", "__i", (F.col("__dp") - F.col("__p")).alias("__g"), "__dp").distinct()
     line = Window.partitionBy("__d", "__i", "__g").orderBy("__dp")
     dense = on.withColumn("__far", F.lead("__dp", need - 1).over(line) - F.col("__dp")).where(F.col("__far") < inside).select("__d", "__i", "__g").distinct()
-    pairs = found.join(dense, ["__d", "__i", "__g"]).groupBy("__d").agg(F.collect_set(F.struct("__i", "__g")).alias("__x"))
+    pairs = cut(found.join(dense, ["__d", "__i", "__g"]).groupBy("__d").agg(F.collect_set(F.struct("__i", "__g")).alias("__x")))
 
-    both = d.join(pairs, "__d").select("__d", "__w", F.explode_outer("__x").alias("x")).select("__d", "__w", "x.__i", "x.__g").join(side(it), "__i")
+    # words again, of the candidate documents only: they are joined as raw texts, broadcast as far as they are few
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    held = docs.select(F.col(key).alias("__d"), F.col(text).alias("__t")).where(F.col(text).isNotNull()).join(few, "__d").withColumn("__w", skeleton_words(F.col("__t")))
+    both = held.select("__d", "__w", F.explode_outer("__x").alias("x")).select("__d", "__w", "x.__i", "x.__g").join(side(it), "__i")
     low, high = F.greatest(F.lit(0), -F.col("__g")), F.least(F.size("__iw"), F.size("__w") - F.col("__g")) - 1
     same = F.transform(F.sequence(low, high), lambda i: (F.get("__iw", i) == F.get("__w", i + F.col("__g"))).cast("int"))
     both = both.where(high - low + 1 >= window).withColumn("__m", same)
