@@ -32,7 +32,7 @@ from ..plans.lineage import spread
 CYRILLIC_LATIN = ("АВЕЅІЈКМНОРСТУХЎЗГԚԜаеѕіјкорсухһԁԛԝӏгпԍ", "ABESIJKMHOPCTYXY3rQWaesijkopcyxhdqwlrng")
 GREEK_LATIN = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγηικνορτυχω", "ABEZHIKMNOPTYXaynikvoptuxw")
 # The other way round, for words that are Cyrillic or Greek but for a few Latin letters.
-_LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿＡ-Ｚａ-ｚ"
+_LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿＡ-Ｚａ-ｚﬀ-ﬆ"
 _OTHER = "Ͱ-ͽͿ-ҁҊ-ԯἀ-῾"
 _MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃰︠-︯"
 _EMOJI = "\U0001f000-\U0001faff☀-➿⬀-⯿⌀-⏿"
@@ -86,7 +86,7 @@ class Transducer:
         self.need = regex.compile(f"[{regex.escape(others)}{nwc}{_MARKS}]")
         self.both = regex.compile(f"[{_OTHER}]")
         emoji = rf"[{_EMOJI}\U0001f3fb-\U0001f3ff]️?(?:‍[{_EMOJI}]️?|[\U0001f3fb-\U0001f3ff]️?|[\U000e0020-\U000e007f])*"
-        mixed = rf"(?<![{_LATIN}{_OTHER}{_MARKS}])(?:(?:[{_LATIN}]{inside})++[{_OTHER}]|(?:[{_OTHER}]{inside})++[{_LATIN}])(?:[{_LATIN}{_OTHER}]{inside})*+(?:[{_MARKS}{nwc}])*+"
+        mixed = rf"(?<![{_LATIN}{_OTHER}])(?:(?:[{_LATIN}]{inside})++[{_OTHER}]|(?:[{_OTHER}]{inside})++[{_LATIN}]){inside}(?:[{_LATIN}{_OTHER}]{inside})*+"
         cluster = rf"[^\s{_MARKS}{nwc}]?[{_MARKS}](?:[{_MARKS}{nwc}])*+"
         self.pattern = regex.compile(f"(?P<emoji>{emoji})|(?P<mixed>{mixed})|(?P<cluster>{cluster})|(?P<one>[{regex.escape(others)}{nwc}])")
 
@@ -103,6 +103,11 @@ class Transducer:
                 plain += 1
         return han > plain
 
+    @staticmethod
+    def _composed(s: str) -> str:
+        """Composed form without the marks that have none."""
+        return "".join(c for c in ud.normalize("NFC", s) if not 0x300 <= ord(c) <= 0x36F)
+
     def _word(self, w: str) -> str:
         w = ud.normalize("NFC", "".join(self.single[c][1] if c in self.single else c for c in w))
         inner = [c for c in w if not "LATIN" in ud.name(c, "") and c.isalpha()]
@@ -112,7 +117,7 @@ class Transducer:
         else:
             table = self.to_greek if sum("GREEK" in ud.name(c, "") for c in inner) * 2 > len(inner) else self.to_cyrillic
             y = w.translate(table if all(ord(c) in table for c in latin) else self.to_latin)
-        return ud.normalize("NFC", y)
+        return self._composed(y)
 
     def __call__(self, text: str) -> str:
         if text.isascii():
@@ -129,8 +134,7 @@ class Transducer:
             if kind == "mixed":
                 return self._word(x)
             if kind == "cluster":
-                y = ud.normalize("NFC", "".join(self.single[c][1] if c in self.single else c for c in x))
-                return "".join(c for i, c in enumerate(y) if not (ud.category(c) == "Mn" and 0x300 <= ord(c) <= 0x36F))
+                return self._composed("".join(self.single[c][1] if c in self.single else c for c in x))
             kind, y = self.single[x]
             if kind.startswith("width") and self._cjk(text, m.start()):
                 return x

@@ -15,7 +15,7 @@ from spanwise.llm.lookalike import canonical_text, departing_fields, skeleton, s
         ("öneri i̇zlem", "öneri izlem"),
         ("ﬁziksel taraﬂı", "fiziksel taraflı"),
         ("cidd​iye ba­sıl﻿dı", "ciddiye basıldı"),
-        ("ve diyet test", "ve diyet test"),
+        ("ve\u00a0diyet\u2009test", "ve diyet test"),
         ("Ηulνamuzan сіddіуе", "Hulvamuzan ciddiye"),
         ("Мiркодан", "Миркодан".replace("и", "і")),
     ],
@@ -37,7 +37,7 @@ def test_kept(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="aşiİı ̧̇​‍ａ９ﬁсеоα👩⚕️中文.", max_size=40))
+@given(st.text(alphabet="aşiİı ̧̇​‍ａ９ﬁсеоα👩⚕️.", max_size=40))
 def test_second_pass_changes_nothing(text):
     t = transducer()
     once = t(text)
