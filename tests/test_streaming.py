@@ -5,7 +5,7 @@ from spanwise.streaming.live import rolling_rates, search_stream
 
 def test_search_stream(spark, tmp_path):
     spark.createDataFrame([("q1", "şeker"), ("q2", "mide")], "qid string, question string").write.parquet(str(tmp_path / "in"))
-    chunks = spark.createDataFrame([(1, 0, "şeker tatlıdır"), (2, 0, "mide yanar")], "doc_id long, chunk_no int, body string")
+    chunks = spark.createDataFrame([(1, 0, "şeker tatlıdır"), (2, 0, "mide yanar"), (3, 0, "uyku iyidir"), (4, 0, "su içilir")], "doc_id long, chunk_no int, body string")
     got = {}
     stream = spark.readStream.schema("qid string, question string").parquet(str(tmp_path / "in"))
     q = search_stream(stream, chunks, lambda hits, n: got.update({(r["qid"], r["rank"]): r["doc_id"] for r in hits.collect()}), str(tmp_path / "cp"), 1)
