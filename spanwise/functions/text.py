@@ -26,6 +26,7 @@ MODEL_PREFIXES = {
 }
 WS = r"[\s\p{Z}]"
 GLUE = "\ue01f"  # stands for white space that ends no sentence
+END = "\ue01e"  # stands for white space that may end one
 HEADING = r"(?mdU)^(={2,6})\s*(.+?)\s*\1$"
 
 
@@ -172,11 +173,16 @@ def split_model(name: str, known: tuple[str, ...] = PROVIDERS) -> tuple[str, str
 
 
 def split_sentences(c: Column) -> Column:
-    """Array of sentences as the chunkers take them; white space that ends no sentence after all is one space."""
+    """Array of sentences as the chunkers take them; white space that ends no sentence after all is one space.
+
+    White space behind a full stop, ! or ? becomes one mark first. Patterns then start with that mark: a look-behind
+    in front of a pattern would be tried at each character.
+    """
     abbr = "|".join(ABBREVIATIONS)
-    t = _sub(c, rf"(?iuU)(?<=(?:^|\s)(?:{abbr}|\p{{Nd}}{{1,30}})\.{{1,3}})\s+", GLUE)
+    gap = rf"[\s{END}{GLUE}]"
+    t = _sub(c, r"(?U)(?<=[.!?])\s+", END)
+    t = _sub(t, rf"(?iuU){END}(?<=(?:^|{gap})(?:{abbr}|\p{{Nd}}{{1,30}})\.{{1,3}}{END})", GLUE)
     roman = r"(?=[XVI])X{0,2}(?:IX|IV|V?I{0,3})"
-    t = _sub(t, rf"(?U)(?<=(?:^|\s|{GLUE}){roman}\.{{1,3}})\s+(?=[{CAPITALS}])", GLUE)
-    t = _sub(t, rf"(?U)(?<=(?:^|\s|{GLUE})[{CAPITALS}][^\s{GLUE}]{{0,60}}[\s{GLUE}]{{1,3}}[{CAPITALS}]\.{{1,3}})\s+(?=[{CAPITALS}])", GLUE)
-    parts = F.transform(F.split(t, r"(?U)(?<=[.!?])\s+"), lambda x: F.translate(x, GLUE, " "))
-    return F.filter(parts, lambda x: x.rlike(r"(?U)\S"))
+    t = _sub(t, rf"(?U){END}(?<=(?:^|{gap}){roman}\.{{1,3}}{END})(?=[{CAPITALS}])", GLUE)
+    t = _sub(t, rf"(?U){END}(?<=(?:^|{gap})[{CAPITALS}][^\s{END}{GLUE}]{{0,60}}{gap}{{1,3}}[{CAPITALS}]\.{{1,3}}{END})(?=[{CAPITALS}])", GLUE)
+    return F.filter(F.transform(F.split(t, END), lambda x: F.translate(x, GLUE, " ")), lambda x: x.rlike(r"(?U)\S"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HEADING, WS, let, split_sentences
+from ..plans.lineage import spread
 
 LEAST = 50
 STRATEGIES = ("fixed", "sentence", "hierarchical")
@@ -24,7 +25,7 @@ def _trim(c: Column) -> Column:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.col("title"), F.coalesce("url", F.lit("")).alias("url"), "text")
+    return spread(docs.where(F.col("text").isNotNull()).select("doc_id", F.col("title"), F.coalesce("url", F.lit("")).alias("url"), "text"))
 
 
 def _numbered(df: DataFrame, pieces: str, chunking: str) -> DataFrame:
