@@ -42,11 +42,9 @@ ABBREVIATIONS = {
     "hi": "डॉ श्री प्रो पं कु",
 }
 _WORDS = sorted({w for v in ABBREVIATIONS.values() for w in v.split()}, key=lambda w: (-len(w), w))
-_Q = 300  # code units a quotation may hold at most, a bound for the look-around
-
-_NO_QUOTE = rf"[^“”„«»「」『』\n]{{0,{_Q}}}+"
-#: the next quotation mark is a closing one, on this line or the next (a “ closes what „ opened)
-_QUOTED = rf"(?={_NO_QUOTE}(?:\n(?!\s*\n){_NO_QUOTE})?(?:[”»」』]|“(?<=„[^„“”]{{0,{2 * _Q}}}“)))"
+_CLOSE, _BLANK = "", ""  # a “ that closes what „ opened; the line break before a blank line
+_OPENS, _CLOSES = "“„«「『", f"”»」』{_CLOSE}"
+_HIDE = (".!?…।॥؟۔。！？｡", _HIDDEN[0] * 8 + _HIDDEN[4] * 4)
 
 
 def _any_width(c: str) -> str:
@@ -68,6 +66,25 @@ def _re(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def _quotations(c: Column) -> Column:
+    """Hide the terminators inside quotations of any length.
+
+    The text is cut at the quotation marks, so each piece is walked once. What stands between an opening mark and the closing one is a quotation
+    unless a blank line comes between; before any other closing mark it is what this line and the one before hold.
+    """
+    c = _re(c, r"\n(?=[^\S\n]*+\n)", _BLANK)
+    c = _re(c, rf"„([^„“”{_BLANK}]*+)“", f"„$1{_CLOSE}")
+    pieces = F.split(c, rf"(?<=[{_CLOSES}])|(?=[{_OPENS}])", -1)
+
+    def hidden(x: Column) -> Column:
+        near = F.substring_index(x, _BLANK, -1)
+        held = F.when(x.rlike(rf"\A[{_OPENS}]") & (near == x), x).otherwise(F.substring_index(near, "\n", -2))
+        return F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(held)), F.translate(held, *_HIDE))
+
+    c = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"[{_CLOSES}]\z"), hidden(x)).otherwise(x)), "")
+    return F.translate(c, _CLOSE + _BLANK, "“\n")
+
+
 def mark_boundaries(text: Column) -> Column:
     """The text with placeholders in it and MARK before each unit but the first."""
     c = F.regexp_replace(text, F.lit("[-]"), F.lit("�"))
@@ -87,9 +104,7 @@ def mark_boundaries(text: Column) -> Column:
     # an ellipsis within a sentence
     c = _re(c, r"(?U)…(?=\s*[\p{Ll},;])", _HIDDEN[3])
     c = _re(c, r"(?U)\.\.\.(?=\s*[\p{Ll},;])", _HIDDEN[0] * 3)
-    # terminators inside quotations
-    c = _re(c, rf"[.!?…।॥؟۔]{_QUOTED}", _HIDDEN[0])
-    c = _re(c, rf"[。！？｡]{_QUOTED}", _HIDDEN[4])
+    c = _quotations(c)
     # boundary after a line that is a heading or a list item, and before one
     c = _re(c, r"(?Um)^([ \t]*={2,6}[^\n]*?={2,6}[ \t\r]*\n)", "$1" + MARK)
     c = _re(c, r"(?U)(\n)(?=[ \t]*={2,6}[^\n]*={2,6}[ \t\r]*(?:\n|$))", "$1" + MARK)
@@ -125,8 +140,17 @@ def _marks(c: Column) -> Column:
 
 
 def _list_lines_whole(c: Column) -> Column:
-    """Drop the marks inside list lines and heading lines (a mark at their end stays)."""
-    return _re(c, rf"(?m){MARK}(?=[^\n]*[^\n{MARK}\s])(?<=(?:^|\n|\n{MARK})[ \t]{{0,8}}(?:[*•‣◦▪·–—-][ \t ]|={{2,6}})[^\n]{{0,600}})", "")
+    """Drop the marks inside list lines and heading lines of any length (marks at their ends stay)."""
+    lines = F.split(c, r"(?<=\n)|(?<=\r)(?!\n)", -1)
+
+    def whole(x: Column) -> Column:
+        lead = F.regexp_extract(x, rf"\A{MARK}*", 0)
+        tail = F.regexp_extract(x, rf"(?<![\s{MARK}])[\s{MARK}]*+\z", 0)
+        inner = F.substring(x, F.length(lead) + 1, F.length(x) - F.length(lead) - F.length(tail))
+        return F.concat(lead, F.replace(inner, F.lit(MARK), F.lit("")), tail)
+
+    item = rf"\A{MARK}*[ \t]{{0,8}}(?:[*•‣◦▪·–—-][ \t ]|={{2,6}})"
+    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(item), whole(x)).otherwise(x)), "")
 
 
 def unit_offsets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

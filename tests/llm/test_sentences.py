@@ -51,3 +51,20 @@ def test_long_text(spark):
     text = "Bir cümle daha. " * 5000
     got = units(spark, text)
     assert len(got) == 5000 and got[-1][0] == 16 * 4999
+
+
+@pytest.mark.parametrize(("opens", "closes", "stop"), [("“", "”", "."), ("„", "“", "!"), ("«", "»", "?"), ("「", "」", "。")])
+def test_quotation_of_any_length(spark, opens, closes, stop):
+    quoted = f"Bir cümle daha{stop} " * 300
+    text = f"Hekim, {opens}{quoted}{closes} diye yazdı. Gitti."
+    assert [s for _, s in units(spark, text)] == [text[: -len(" Gitti.")], "Gitti."]
+
+
+def test_quotation_mark_left_open(spark):
+    text = "„Bir cümle. İkinci cümle.\n\nÜçüncü cümle. Dördüncü, “alıntı” ile. Son."
+    assert [s for _, s in units(spark, text)] == ["„Bir cümle.", "İkinci cümle.", "Üçüncü cümle.", "Dördüncü, “alıntı” ile.", "Son."]
+
+
+def test_list_line_of_any_length(spark):
+    first, second = ("* " + "Bir cümle daha. " * 300 + "Bitti.", "- " + "Kısa söz. " * 300 + "Son.")
+    assert [s for _, s in units(spark, f"{first}\n{second}\nBaşka satır. Son.")] == [first, second, "Başka satır.", "Son."]
