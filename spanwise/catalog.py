@@ -182,12 +182,20 @@ def bm25_topk_nostem(spark: SparkSession, where: str) -> DataFrame:
 
 @query
 def stem_sweep(spark: SparkSession, where: str) -> DataFrame:
+    """The three arms and best hits that the SQL has; the whole sweep is stem_sweep_full."""
     return rt.sweep_stems(ch.chunk_fixed(docs(spark, where)), roots(spark, where), 1, (None, 4, 5))
 
 
+@query
+def stem_sweep_full(spark: SparkSession, where: str) -> DataFrame:
+    """All 7 stems, 10 hits."""
+    return rt.sweep_stems(ch.chunk_fixed(docs(spark, where)), roots(spark, where))
+
+
 @query
 def bm25_param_sweep(spark: SparkSession, where: str) -> DataFrame:
-    return rt.sweep_bm25(ch.chunk_fixed(docs(spark, where)), roots(spark, where), 1, (0.9, 1.5), (0.5, 0.75))
+    """All 6 x 5 cells, 10 hits."""
+    return rt.sweep_bm25(ch.chunk_fixed(docs(spark, where)), roots(spark, where))
 
 
 def _vector_queries(e: DataFrame) -> DataFrame:
