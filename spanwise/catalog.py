@@ -284,7 +284,7 @@ def _ndcg(spark: SparkSession, where: str) -> DataFrame:
 
 @query
 def bootstrap_ci(spark: SparkSession, where: str) -> DataFrame:
-    return un.bootstrap_ci(_ndcg(spark, where), ["run"], "value", ["question"], 1000)
+    return un.bootstrap_ci(_ndcg(spark, where), ["run"], "value", ["question"])
 
 
 @query
@@ -302,7 +302,7 @@ def paired_diff(spark: SparkSession, where: str) -> DataFrame:
 @query
 def recommend(spark: SparkSession, where: str) -> DataFrame:
     costs = runs(spark, where).select(F.col("run_id").alias("run"), F.col("latency_ms_p95").alias("p95"), F.lit(None).cast("double").alias("index_seconds"))
-    return un.recommend(_ndcg(spark, where), costs, resamples=1000)
+    return un.recommend(_ndcg(spark, where), costs)
 
 
 # abstention

@@ -42,7 +42,7 @@ def bootstrap_ci(df: DataFrame, by: list[str], value: str, order: list[str], res
     return df.where(F.col(value).isNotNull()).select(*by, *[o for o in order if o not in by], value).groupBy(*by).applyInPandas(run, schema)
 
 
-def bootstrap_sql(df: DataFrame, by: list[str], value: str, key: str, resamples: int = 200) -> DataFrame:
+def bootstrap_sql(df: DataFrame, by: list[str], value: str, key: str, resamples: int = RESAMPLES) -> DataFrame:
     """B1 without numpy's stream: Poisson(1) weights drawn from hashes of (key, resample), distributed over rows; any group size."""
     u = (F.pmod(F.xxhash64(F.col(key), F.col("b")), F.lit(1_000_003)) + F.lit(0.5)) / F.lit(1_000_003.0)
     # inverse of the Poisson(1) distribution, as far as the figures above reach (fixed values by rule)
