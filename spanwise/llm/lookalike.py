@@ -88,6 +88,9 @@ class Transducer:
         emoji = rf"[{_EMOJI}\U0001f3fb-\U0001f3ff]️?(?:‍[{_EMOJI}]️?|[\U0001f3fb-\U0001f3ff]️?|[\U000e0020-\U000e007f])*"
         mixed = rf"(?<![{_LATIN}{_OTHER}])(?:(?:[{_LATIN}]{inside})++[{_OTHER}]|(?:[{_OTHER}]{inside})++[{_LATIN}]){inside}(?:[{_LATIN}{_OTHER}]{inside})*+"
         cluster = rf"[^\s{_MARKS}{nwc}]?[{_MARKS}](?:[{_MARKS}{nwc}])*+"
+        latin, greek, cyrillic = (rf"[\p{{L}}&&\p{{Script={x}}}]" for x in ("Latin", "Greek", "Cyrillic"))
+        # two letters of a word that stand next to each other in different scripts: so it is in each word that mixes two of the three
+        self.scripts = regex.compile(rf"(?V1){latin}{inside}(?:{greek}|{cyrillic})|{greek}{inside}(?:{latin}|{cyrillic})|{cyrillic}{inside}(?:{latin}|{greek})")
         self.pattern = regex.compile(f"(?P<emoji>{emoji})|(?P<mixed>{mixed})|(?P<cluster>{cluster})|(?P<one>[{regex.escape(others)}{nwc}])")
 
     @staticmethod
@@ -146,9 +149,11 @@ class Transducer:
         return out if normal else ud.normalize("NFC", out)
 
     def departs(self, text: str | None) -> bool:
-        """Whether the text holds anything that the canonical form has otherwise, full-width punctuation left aside."""
+        """Whether the text holds anything that the canonical form has otherwise, full-width punctuation left aside, or a word of mixed scripts, mapped or not."""
         if not text:
             return False
+        if not text.isascii() and self.scripts.search(text):
+            return True
         y = self(text)
         if y == text:
             return False

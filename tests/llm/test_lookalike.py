@@ -57,3 +57,8 @@ def test_skeleton(spark):
     df = spark.createDataFrame([("İĞNE, Ｄağ’ın 21,2 post-op сеker!",), (None,), ("...",)], "t string")
     assert [r["s"] for r in df.select(skeleton(F.col("t")).alias("s")).collect()] == ["igne dagin 212 postop ceker", None, ""]
     assert [r["s"] for r in df.select(skeleton_words(F.col("t")).alias("s")).collect()][1:] == [[], []]
+
+
+@pytest.mark.parametrize(("text", "mixed"), [("5 \u03bcg", True), ("Дom", True), ("мα", True), ("βета", True), ("дозаω\u0301", True), ("д\u200bo", True), ("5 \u00b5g", False), ("α-блокатор", False), ("β testi, доза", False), ("ὑγίεια", False)])
+def test_mixed_scripts_whether_mapped_or_not(text, mixed):
+    assert transducer().departs(text) == mixed
