@@ -60,6 +60,11 @@ def _candidates(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
             if a < run_end < b:
                 add.append(run_end)
                 kinds.append(4)
+            # inside a separator longer than the limit any place is as good as a word's end
+            if b - run_end > limit:
+                inner = list(range(run_end + max(1, limit // 2), b, max(1, limit // 14)))
+                add += inner
+                kinds += [4] * len(inner)
             if run_end - a > limit:
                 inner = list(range(a + limit // 2, run_end, max(1, limit // 14)))
                 add += inner

@@ -48,3 +48,12 @@ def test_rows(spark):
     assert {r["doc_id"] for r in got} == {1}
     assert all(r["piece"] == long[r["piece_start"] : r["piece_end"]] for r in got)
     assert split_oversized(df.limit(0)).count() == 0
+
+
+def test_separators_over_the_limit():
+    for sep in (" ", "-", ".", "\n", ". ", "\t-"):
+        for n in (699, 700, 701, 800, 5000):
+            run = (sep * n)[:n]
+            for text in ("Bir cümle var. " * 30 + run + "Son cümle. " * 30, run + "son" * 10, "x" * 800 + run, run + "y" * 800, run):
+                if len(text) > 700:
+                    check(text, 700, 100)
