@@ -57,7 +57,7 @@ def p4_groups(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, where: str) -> DataFrame:
-    return sentences.sentence_units(_table(spark, where, "documents")).select("doc_id", F.col("sent_start").cast("bigint").alias("sent_start"))
+    return sentences.unit_starts(_table(spark, where, "documents")).select("doc_id", F.col("sent_start").cast("bigint").alias("sent_start"))
 
 
 def p6_found(spark: SparkSession, where: str) -> DataFrame:

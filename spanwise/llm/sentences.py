@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import spread
 
-MARK = ""
+MARK = "\ue00f"
 _TERMS = ".!?…。！？।॥؟۔｡"
-_HIDDEN = ""
-assert len(_TERMS) == len(_HIDDEN)
+_HIDDEN = "".join(chr(0xE000 + i) for i in range(len(_TERMS)))
+_CLOSE, _BLANK, _CUT = "\ue00c", "\ue00d", "\ue00e"  # a “ that closes what „ opened; the line break before a blank line; an edge of a quotation
 
 # Abbreviations after which a full stop does not end a sentence, by language.
 ABBREVIATIONS = {
@@ -42,138 +42,163 @@ ABBREVIATIONS = {
     "hi": "डॉ श्री प्रो पं कु",
 }
 _WORDS = sorted({w for v in ABBREVIATIONS.values() for w in v.split()}, key=lambda w: (-len(w), w))
-_CLOSE, _BLANK = "", ""  # a “ that closes what „ opened; the line break before a blank line
 _OPENS, _CLOSES = "“„«「『", f"”»」』{_CLOSE}"
-_HIDE = (".!?…।॥؟۔。！？｡", _HIDDEN[0] * 8 + _HIDDEN[4] * 4)
+_THAI = r"\u0E00-\u0E7F"
 
 
 def _any_width(c: str) -> str:
-    """A character of an abbreviation, composed or not, of either width; a full stop may be hidden already."""
+    """A character of an abbreviation, composed or not, of either case and width."""
     if c == ".":
-        return rf"[.{_HIDDEN[0]}]?\s?"
+        return r"\.\s?"
     apart = unicodedata.normalize("NFD", c)
     if apart != c:
-        return f"(?:{c}|{apart})"
-    return f"[{c}{chr(ord(c) + 0xFEE0)}]" if "a" <= c <= "z" else c.replace("-", r"\-")
+        return f"(?:{c}|{c.upper()}|{apart}|{apart[0].upper()}{apart[1:]})"
+    if "a" <= c <= "z":
+        return "[" + "".join(chr(ord(x) + w) for x in (c, c.upper()) for w in (0, 0xFEE0)) + "]"
+    return c.replace("-", r"\-") if c.upper() == c else f"[{c}{c.upper()}]"
 
 
-def _abbr() -> str:
-    words = "|".join("".join(_any_width(c) for c in w) for w in _WORDS)
-    return rf"(?iu)\.(?<=(?:^|[^\p{{L}}\p{{M}}\p{{N}}])(?:{words})\.)"
+def _branches(words: list[str]) -> str:
+    """The words as one pattern that shares their beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    out = "|".join(_any_width(c) + (_branches(rest) if any(rest) else "") for c, rest in heads.items())
+    return f"(?:{out})" + ("?" if "" in words else "")
 
 
 def _re(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def _stops() -> str:
+    """Full stops (and ellipses) that end no sentence. The pattern starts with the stop itself, all else looks around from there."""
+    start = r"(?:^|[^\p{L}\p{M}\p{N}])"
+    german = "(?:[Dd]er|[Dd]ie|[Dd]as|[Dd]em|[Dd]en|[Dd]es|[Ii]m|[Aa]m|[Vv]om|[Zz]um|[Bb]eim)"
+    rules = (
+        r"(?<=\p{Nd}\.)(?=[\p{Nd}ªºᵃ])",  # decimals, dates, times, 35.ª
+        r"(?<=[Ww]{3}\.)(?=\w)",  # addresses
+        rf"(?<={start}\p{{L}}\p{{M}}?\.)",  # initials and single letters, chained ones (U.S., т. д.) included
+        # Roman numerals; ordinals before a small letter, or after a German article
+        r"(?<=(?:^|[^\p{L}\p{N}])(?:[XVI]{2,7}|[xvıi]{2,7})\.)(?=\s)",
+        r"(?<=(?:^|[^\p{L}\p{N}])\p{Nd}{1,4}\.)(?=[ \t\p{Zs}]*[\n\r]{0,2}[ ]*\p{Ll})",
+        rf"(?<={german}\s\p{{Nd}}{{1,3}}\.)(?=\s\p{{Lu}})",
+        rf"(?<={start}{_branches(_WORDS)}\.)",  # abbreviations, also inside
+        # an ellipsis within a sentence
+        r"(?=\.{0,2}+[\s\x85\p{Z}]*[\p{Ll},;])(?:(?=\.\.)|(?<=\.\.)(?=\.)|(?<=\.\.\.))",
+    )
+    return rf"\.(?:{'|'.join(rules)})"
+
+
+def _addresses(c: Column) -> Column:
+    """Hide the full stops of addresses of any length: each match goes on where the one before ended."""
+    address = r"(https?://|[Ww]{3}(?=[.])|\G(?<=\.))([^\s.]*+)\.(?=[\p{L}\p{Nd}_/-])"
+    return F.when(c.contains("://") | c.rlike(r"[Ww]{3}[.]"), _re(c, address, f"$1$2{_HIDDEN[0]}")).otherwise(c)
+
+
 def _quotations(c: Column) -> Column:
     """Hide the terminators inside quotations of any length.
 
     The text is cut at the quotation marks, so each piece is walked once. What stands between an opening mark and the closing one is a quotation
     unless a blank line comes between; before any other closing mark it is what this line and the one before hold.
     """
-    c = _re(c, r"\n(?=[^\S\n]*+\n)", _BLANK)
-    c = _re(c, rf"„([^„“”{_BLANK}]*+)“", f"„$1{_CLOSE}")
-    pieces = F.split(c, rf"(?<=[{_CLOSES}])|(?=[{_OPENS}])", -1)
+    q = _re(c, r"\n(?=[^\S\n]*+\n)", _BLANK)
+    q = _re(q, rf"„([^„“”{_BLANK}]*+)“", f"„$1{_CLOSE}")
+    pieces = F.split(_re(q, rf"(?=[\u00AB-\uFFFF])(?:([{_CLOSES}])|([{_OPENS}]))", f"$1{_CUT}$2"), _CUT, -1)
 
     def hidden(x: Column) -> Column:
         near = F.substring_index(x, _BLANK, -1)
         held = F.when(x.rlike(rf"\A[{_OPENS}]") & (near == x), x).otherwise(F.substring_index(near, "\n", -2))
-        return F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(held)), F.translate(held, *_HIDE))
-
-    c = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"[{_CLOSES}]\z"), hidden(x)).otherwise(x)), "")
-    return F.translate(c, _CLOSE + _BLANK, "“\n")
-
-
-def mark_boundaries(text: Column) -> Column:
-    """The text with placeholders in it and MARK before each unit but the first."""
-    c = F.regexp_replace(text, F.lit("[-]"), F.lit("�"))
-    # a line is what stands between line breaks: \r\n counts as one break of two characters
-    # every pattern starts with the stop itself: a look-behind in front would be tried at each character
-    c = _re(c, r"\.(?<=[Ww]{3}\.)(?=\w)", _HIDDEN[0])  # addresses
-    c = _re(c, rf"\.(?<=(?:https?://|[Ww]{{3}}{_HIDDEN[0]})[^\s]{{0,100}}\.)(?=[\p{{L}}\p{{Nd}}_/-])", _HIDDEN[0])
-    c = _re(c, r"\.(?<=\p{Nd}\.)(?=[\p{Nd}ªºᵃ])", _HIDDEN[0])  # decimals, dates, times, 35.ª
-    # abbreviations, also inside: each full stop that an abbreviation is followed by
-    c = _re(c, _abbr(), _HIDDEN[0])
-    # initials and single letters, chained ones (U.S., т. д.) included
-    c = _re(c, r"\.(?<=(?:^|[^\p{L}\p{M}\p{N}])\p{L}\p{M}?\.)", _HIDDEN[0])
-    # Roman numerals and ordinals: before a small letter, or after a German article
-    c = _re(c, r"\.(?<=(?:^|[^\p{L}\p{N}])(?:[XVI]{2,7}|[xvıi]{2,7})\.)(?=\s)", _HIDDEN[0])
-    c = _re(c, r"\.(?<=(?:^|[^\p{L}\p{N}])\p{Nd}{1,4}\.)(?=[ \t    　]*[\n\r]{0,2}[ ]*\p{Ll})", _HIDDEN[0])
-    c = _re(c, r"\.(?<=(?:[Dd]er|[Dd]ie|[Dd]as|[Dd]em|[Dd]en|[Dd]es|[Ii]m|[Aa]m|[Vv]om|[Zz]um|[Bb]eim)\s\p{Nd}{1,3}\.)(?=\s\p{Lu})", _HIDDEN[0])
-    # an ellipsis within a sentence
-    c = _re(c, r"(?U)…(?=\s*[\p{Ll},;])", _HIDDEN[3])
-    c = _re(c, r"(?U)\.\.\.(?=\s*[\p{Ll},;])", _HIDDEN[0] * 3)
-    c = _quotations(c)
-    # boundary after a line that is a heading or a list item, and before one
-    c = _re(c, r"(?Um)^([ \t]*={2,6}[^\n]*?={2,6}[ \t\r]*\n)", "$1" + MARK)
-    c = _re(c, r"(?U)(\n)(?=[ \t]*={2,6}[^\n]*={2,6}[ \t\r]*(?:\n|$))", "$1" + MARK)
-    c = _re(c, r"(?U)(\n)(?=[ \t]*[*•‣◦▪·–—-][ \t ]+\S)", "$1" + MARK)
-    # what a list line holds is one unit
-    c = _re(c, r"(?Um)^([ \t]*[*•‣◦▪·–—-][ \t ]+[^\n]*\n)", "$1" + MARK)
-    return _marks(c)
-
-
-def _marks(c: Column) -> Column:
-    close = r"[\"'”’»›」』)\]“]*"
-    term = r"[.!?…؟۔।॥]"
-    c = _re(c, r"(?U)((?:\r?\n|\r)[ \t ]*(?:\r?\n|\r))", "$1" + MARK)  # blank line
-    # a line with its closing punctuation, then any line
-    c = _re(c, rf"(?U)((?:{term}|[-]+[\"”’»」』“]){close}[ \t]*(?:\r\n|\n|\r))(?![])(?=\s*(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Nd}}¿¡“«„「*•\"(-]))", "$1" + MARK)
-    # an open line that another unit follows: a capital, a figure or an opening mark starts it, or a record stands before
-    c = _re(c, r"(?U)((?:\r\n|\n|\r))(?=[ \t]*[\p{Lu}\p{Lt}¿¡“«„「])", "$1" + MARK)
-    c = _re(c, r"(?U)(\r?\n|\r)(?<=[^\s.,;:!?/]{20}\r?[\n\r])(?=[ \t]*\S)", "$1" + MARK)
-    c = _re(c, r"(?U)([฀-๿\p{Nd}][ \t]*(?:\r\n|\n|\r))(?=[ \t]*[฀-๿])", "$1" + MARK)
-    # terminators of scripts with spaces: white space follows, or the next sentence stands right behind
-    c = _re(c, rf"(?U)((?:{term})+{close}\s+)", "$1" + MARK)
-    c = _re(c, r"(?U)([.!?]+)(?<=[\p{Ll}\p{Lo}\p{M})%][.!?]{1,3})(?=(?:\p{Lu}[\p{L}\p{M}.]|[“«„¿¡]|\p{Nd}{4}\s))", "$1" + MARK)
-    c = _re(c, r"([।؟]+)(?=\p{L})", "$1" + MARK)
-    # a quotation that closes a sentence: its own terminator is the last, a capital or a script without spaces follows
-    c = _re(c, r"(?U)([--][”»“]\s+)(?=[\p{Lu}¿¡“«„])", "$1" + MARK)
-    c = _re(c, r"([-]”)(?=[㐀-鿿])", "$1" + MARK)
-    # scripts without spaces
-    c = _re(c, r"([。！？｡]+[”’」』）)]*)", "$1" + MARK)
-    # Thai: a space between phrases ends one
-    c = _re(c, r"(?U)([฀-๿\p{Nd}][ \t    　]+)(?=[฀-๿])", "$1" + MARK)
-    c = _re(c, r"(?U)([฀-๿][ \t    　]+)(?=[\p{Lu}“«„])", "$1" + MARK)
-    return c
-
-
-def _list_lines_whole(c: Column) -> Column:
-    """Drop the marks inside list lines and heading lines of any length (marks at their ends stay)."""
-    lines = F.split(c, r"(?<=\n)|(?<=\r)(?!\n)", -1)
-
-    def whole(x: Column) -> Column:
-        lead = F.regexp_extract(x, rf"\A{MARK}*", 0)
-        tail = F.regexp_extract(x, rf"(?<![\s{MARK}])[\s{MARK}]*+\z", 0)
-        inner = F.substring(x, F.length(lead) + 1, F.length(x) - F.length(lead) - F.length(tail))
-        return F.concat(lead, F.replace(inner, F.lit(MARK), F.lit("")), tail)
-
-    item = rf"\A{MARK}*[ \t]{{0,8}}(?:[*•‣◦▪·–—-][ \t ]|={{2,6}})"
-    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(item), whole(x)).otherwise(x)), "")
-
-
-def unit_offsets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        return F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(held)), _re(_re(held, "[.!?…।॥؟۔]", _HIDDEN[0]), "[。！？｡]", _HIDDEN[4]))
+
+    q = F.array_join(F.transform(pieces, lambda x: F.when(F.substring(x, -1, 1).isin(*_CLOSES), hidden(x)).otherwise(x)), "")
+    q = F.replace(F.replace(q, F.lit(_CLOSE), F.lit("“")), F.lit(_BLANK), F.lit("\n"))
+    return F.when(c.rlike("(?=[\\u00BB-\\uFFFF])[“”»」』]"), q).otherwise(c)
+
+
+def _boundaries(thai: bool) -> str:
+    """Where a unit ends: group 1 is what stands before the mark, group 2 a line that is a unit as a whole.
+
+    One pattern, so a text is walked once. A mark may stand anywhere in the white space between two units. Each alternative
+    takes its stop or one line break and looks around from there, so that none hides the place of another.
+    """
+    space = r"[\s\x85\p{Z}]"
+    close = r"[\"'”’»›」』)\]“]*+"
+    hidden = r"[\uE000-\uE00B]"
+    line = r"(?:={2,6}[^\n\r]*={2,6}[ \t]*+(?=[\r\n]|\z)|[*•‣◦▪·–—-][ \t ]++[^\s\x85\p{Z}][^\n\r]*+)"
+    breaks = [
+        r"(?=[ \t ]*+[\r\n])",  # before a blank line
+        r"(?=[ \t]*+[\p{Lu}\p{Lt}¿¡“«„「])",  # an open line that another unit follows: a capital, a figure or an opening mark starts it
+        r"(?<=[^\s\x85\p{Z}.,;:!?/]{20}\r?[\n\r])(?=[ \t]*+[^\s\x85\p{Z}])",  # or a record stands before
+    ]
+    closed = [rf"[”»“](?={space}+[\p{{Lu}}¿¡“«„])", rf"[\"”’»」』“]{close}(?=[ \t]*+[\r\n]{space}*[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Nd}}¿¡“«„「*•\"(-])"]
+    stops = [
+        rf"{close}(?={space})",  # white space follows
+        r"(?<=[\p{Ll}\p{Lo}\p{M})%][.!?]{1,3})(?=\p{Lu}[\p{L}\p{M}.]|[“«„¿¡]|\p{Nd}{4}\s)",  # or the next sentence stands right behind
+        r"(?<=[।؟])(?=\p{L})",
+    ]
+    cuts = [
+        rf"[.!?…؟۔।॥]++(?:{'|'.join(stops)})",
+        rf"{hidden}++(?:{'|'.join(closed)})",
+        r"[\uE004]”(?=[㐀-鿿])",  # a quotation that closes a sentence of a script without spaces
+        r"[。！？｡]++[”’」』）)]*+",
+    ]
+    # few ranges, as each costs a test of every character: what isn't a stop fails below
+    first = r"\r\n.!?\u061F-\uFF61"
+    if thai:  # a space between phrases ends one
+        breaks.append(rf"(?<=[{_THAI}\p{{Nd}}][ \t]{{0,9}}\r?[\r\n])(?=[ \t]*+[{_THAI}])")
+        cuts += [rf"[{_THAI}\p{{Nd}}](?=[ \t\p{{Zs}}]+[{_THAI}])", rf"[{_THAI}](?=[ \t\p{{Zs}}]+[\p{{Lu}}“«„])"]
+        first += r"\p{Nd}"
+    both = r"(?:\r\n|[\r\n])"
+    # behind a heading or a list line the next match starts where that one ended; the first condition keeps the alternatives away from all other characters
+    return rf"(?=[{first}])(?:({both})([ \t]*+{line})|(\G{both}|{both}(?:{'|'.join(breaks)})|{'|'.join(cuts)}))"
+
+
+def marked(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``out``: a line break, then the text with placeholders in it, and MARK before each unit but the first.
+
+    One step a projection, as each step reads the one before more than once.
+    """
+    df = df.withColumn(out, F.concat(F.lit("\n"), _re(F.col(text), r"[\uE000-\uE00F]", "\ufffd")))
+    df = df.withColumn(out, _addresses(F.col(out)))
+    df = df.withColumn(out, _re(F.col(out), _stops(), _HIDDEN[0]))
+    df = df.withColumn(out, _re(F.col(out), r"…(?=[\s\x85\p{Z}]*[\p{Ll},;])", _HIDDEN[3]))
+    df = df.withColumn(out, _quotations(F.col(out)))
+    to = f"$3$1{MARK}$2"
+    return df.withColumn(out, F.when(F.col(out).rlike(f"[{_THAI}]"), _re(F.col(out), _boundaries(True), to)).otherwise(_re(F.col(out), _boundaries(False), to)))
+
+
+def unit_offsets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pieces: bool = False) -> DataFrame:
     """``keep``, ``__t`` (the text) and ``__u``: ARRAY<STRUCT<s INT, n INT>>, offset and length of each piece, white space included.
 
-    Texts without letters (null and empty ones too) are left out.
+    Texts without letters (null and empty ones too) are left out. With ``pieces`` the structs hold the masked piece, too (``p``).
     """
     base = spread(df.select(*[F.col(k) for k in keep], F.col(text).alias("__t")).where(F.col("__t").isNotNull())).where(F.col("__t").rlike(r"\p{L}"))
-    c = base.withColumn("__m", _list_lines_whole(mark_boundaries(F.col("__t"))))
-    c = c.withColumn("__p", F.transform(F.split("__m", MARK, -1), lambda p: F.length(p))).drop("__m")
+    c = marked(base, "__t", "__m").withColumn("__q", F.split("__m", MARK, -1)).drop("__m")
+    c = c.withColumn("__p", F.transform("__q", lambda p: F.length(p)))
     block = 64  # running sums in two steps, so that their cost stays far from quadratic in the pieces
     c = c.withColumn("__b", F.transform(F.sequence(F.lit(0), F.floor((F.size("__p") - 1) / block).cast("int")), lambda b: F.aggregate(F.slice("__p", b * block + 1, block), F.lit(0), lambda a, x: a + x)))
     c = c.withColumn("__o", F.transform("__b", lambda _, b: F.aggregate(F.slice("__b", 1, b), F.lit(0), lambda a, x: a + x))).drop("__b")
+    # the first piece holds the line break in front of the text
     units = F.transform(
         "__p",
         lambda n, i: F.struct(
-            (F.get("__o", F.floor(i / block).cast("int")) + F.aggregate(F.slice("__p", (F.floor(i / block) * block + 1).cast("int"), i % block), F.lit(0), lambda a, x: a + x)).alias("s"),
-            n.alias("n"),
+            F.greatest(F.lit(0), F.get("__o", F.floor(i / block).cast("int")) + F.aggregate(F.slice("__p", (F.floor(i / block) * block + 1).cast("int"), i % block), F.lit(-1), lambda a, x: a + x)).alias("s"),
+            (n - (i == 0).cast("int")).alias("n"),
+            *([F.get("__q", i).alias("p")] if pieces else []),
         ),
     )
     return c.select(*keep, "__t", units.alias("__u"))
 
 
+def unit_starts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and ``sent_start`` of each unit; the masked pieces tell it, as no white space is masked."""
+    out = unit_offsets(df, text, keep, pieces=True).select(*keep, F.explode_outer("__u").alias("u"))
+    rest = F.length(F.regexp_replace("u.p", F.lit(r"\A[\s\x85\p{Z}]++"), F.lit("")))
+    return out.select(*keep, (F.col("u.s") + F.col("u.n") - rest).alias("sent_start"), rest.alias("__r")).where(F.col("__r") > 0).drop("__r")
+
+
 def sentence_units(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per sentence unit, see the module. Of the input's columns only ``keep`` is carried."""
     # the outer generator keeps the planner from working all expressions out once more in a filter below it

@@ -1,13 +1,15 @@
 import pytest
 
-from spanwise.llm.sentences import sentence_units
+from spanwise.llm.sentences import sentence_units, unit_starts
 
 SCHEMA = "doc_id long, text string, sentence string"
 
 
 def units(spark, text):
     df = spark.createDataFrame([(1, text, "clash")], SCHEMA)
-    return [(r["sent_start"], r["sentence"]) for r in sentence_units(df).orderBy("sent_start").collect()]
+    got = [(r["sent_start"], r["sentence"]) for r in sentence_units(df).orderBy("sent_start").collect()]
+    assert sorted(r["sent_start"] for r in unit_starts(df).collect()) == [s for s, _ in got]
+    return got
 
 
 @pytest.mark.parametrize(
@@ -68,3 +70,19 @@ def test_quotation_mark_left_open(spark):
 def test_list_line_of_any_length(spark):
     first, second = ("* " + "Bir cümle daha. " * 300 + "Bitti.", "- " + "Kısa söz. " * 300 + "Son.")
     assert [s for _, s in units(spark, f"{first}\n{second}\nBaşka satır. Son.")] == [first, second, "Başka satır.", "Son."]
+
+
+def test_address_of_any_length(spark):
+    address = "https://www.ornek.invalid/" + "a.b/" * 400 + "son.html"
+    assert [s for _, s in units(spark, f"Bkz. {address} adresi. Son.")] == [f"Bkz. {address} adresi.", "Son."]
+
+
+@pytest.mark.parametrize("brk", ["\n", "\r\n", "\r"])
+def test_list_lines_hold_several_sentences(spark, brk):
+    lines = ["Giriş cümlesi.", "* Madde bir var. İkinci cümle burada.", "- Madde iki. Bitti.", "== Başlık ==", "Son cümle. En son."]
+    assert [s for _, s in units(spark, brk.join(lines))] == [*lines[:4], "Son cümle.", "En son."]
+
+
+def test_placeholders_in_the_text(spark):
+    text = "Bir \ue000 iki \ue00f üç. Dört \ue00d beş."
+    assert [s for _, s in units(spark, text)] == ["Bir \ue000 iki \ue00f üç.", "Dört \ue00d beş."]
