@@ -69,29 +69,68 @@ def rules() -> dict[str, tuple[str, str]]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _script(c: str) -> str:
+    return next((k for k, name in (("Latin", "LATIN"), ("Greek", "GREEK"), ("Cyrillic", "CYRILLIC")) if c.isalpha() and name in ud.name(c, "")), "")
+
+
 class Transducer:
+    """Compiled from ``rules``, the canonical compositions and the look-alike tables.
+
+    Arcs: ``single`` (character -> output), ``pairs`` (character and what hangs on it -> composed), and per target script ``table`` (letter -> letter). ``_check`` follows all of them once at compile time.
+    """
+
     def __init__(self) -> None:
         self.single = rules()
-        for x, (_, y) in self.single.items():
-            if any(c in self.single for c in y):
-                raise ValueError(f"the output of {x!r} is an input again")
+        self.pairs: dict[str, str] = {}
+        for c in range(0x110000):
+            ch = chr(c)
+            apart = ud.decomposition(ch)
+            if not apart or apart[0] == "<":
+                continue
+            normal = ud.normalize("NFC", ch)
+            if normal != ch:  # stands for another character, or is never composed
+                if ch not in self.single:
+                    self.single[ch] = ("composed", normal)
+            elif len(two := "".join(chr(int(x, 16)) for x in apart.split())) == 2:
+                self.pairs[two] = ch
+        self.seconds = {x[1] for x in self.pairs}
         self.width_marks = {ord(x): y for x, (k, y) in self.single.items() if k == "width-mark"}
-        self.to_latin = str.maketrans(*map("".join, zip(*[CYRILLIC_LATIN, GREEK_LATIN], strict=True)))
-        self.to_cyrillic = {ord(b): a for a, b in zip(reversed(CYRILLIC_LATIN[0]), reversed(CYRILLIC_LATIN[1]), strict=True)}
-        self.to_greek = {ord(b): a for a, b in zip(reversed(GREEK_LATIN[0]), reversed(GREEK_LATIN[1]), strict=True)}
-        nw = "".join(x for x, (k, _) in self.single.items() if k == "no-width")
-        nwc = regex.escape(nw).replace("-", r"\-")
-        inside = f"[{_MARKS}{nwc}]*+"
-        others = "".join(x for x, (k, _) in self.single.items() if k != "no-width")
-        self.need = regex.compile(f"[{regex.escape(others)}{nwc}{_MARKS}]")
+        self.table = {
+            "Latin": dict(zip(CYRILLIC_LATIN[0] + GREEK_LATIN[0], CYRILLIC_LATIN[1] + GREEK_LATIN[1], strict=True)),
+            "Cyrillic": dict(zip(reversed(CYRILLIC_LATIN[1]), reversed(CYRILLIC_LATIN[0]), strict=True)),
+            "Greek": dict(zip(reversed(GREEK_LATIN[1]), reversed(GREEK_LATIN[0]), strict=True)),
+        }
+        cls = lambda chars: regex.escape("".join(sorted(chars))).replace("-", r"\-")
+        nw = cls(x for x, (k, _) in self.single.items() if k == "no-width")
+        others = cls(x for x, (k, _) in self.single.items() if k != "no-width")
+        # what may stand behind the first character of a cluster: marks of any script, and what is composed with the one before
+        hangs = rf"\p{{Mn}}\u1161-\u1175\u11a8-\u11c2{cls(self.seconds)}"
+        inside = f"[{hangs}{nw}]*+"
+        # what is not in composed form is told without it
+        self.need = regex.compile(f"[{cls(x for x, (k, _) in self.single.items() if k not in ('no-width', 'composed'))}{nw}{_MARKS}]")
         self.both = regex.compile(f"[{_OTHER}]")
-        emoji = rf"[{_EMOJI}\U0001f3fb-\U0001f3ff]️?(?:‍[{_EMOJI}]️?|[\U0001f3fb-\U0001f3ff]️?|[\U000e0020-\U000e007f])*"
+        emoji = rf"(?![{others}])(?:[0-9#*]\ufe0f?\u20e3|[{_EMOJI}\U0001f3fb-\U0001f3ff]\ufe0f?(?:\u200d[{_EMOJI}]\ufe0f?|[\U0001f3fb-\U0001f3ff]\ufe0f?|[\U000e0020-\U000e007f])*)"
         mixed = rf"(?<![{_LATIN}{_OTHER}])(?:(?:[{_LATIN}]{inside})++[{_OTHER}]|(?:[{_OTHER}]{inside})++[{_LATIN}]){inside}(?:[{_LATIN}{_OTHER}]{inside})*+"
-        cluster = rf"[^\s{_MARKS}{nwc}]?[{_MARKS}](?:[{_MARKS}{nwc}])*+"
+        cluster = rf"[^\s{hangs}{nw}][{nw}]*+[{hangs}][{hangs}{nw}]*+|[{hangs}][{hangs}{nw}]*+"
         latin, greek, cyrillic = (rf"[\p{{L}}&&\p{{Script={x}}}]" for x in ("Latin", "Greek", "Cyrillic"))
         # two letters of a word that stand next to each other in different scripts: so it is in each word that mixes two of the three
         self.scripts = regex.compile(rf"(?V1){latin}{inside}(?:{greek}|{cyrillic})|{greek}{inside}(?:{latin}|{cyrillic})|{cyrillic}{inside}(?:{latin}|{greek})")
-        self.pattern = regex.compile(f"(?P<emoji>{emoji})|(?P<mixed>{mixed})|(?P<cluster>{cluster})|(?P<one>[{regex.escape(others)}{nwc}])")
+        self.pattern = regex.compile(f"(?P<emoji>{emoji})|(?P<mixed>{mixed})|(?P<cluster>{cluster})|(?P<one>[{others}{nw}])")
+        self._check()
+
+    def _check(self) -> None:
+        """No output of a table is an input of it or of ``single``, and what the arcs put out they leave as it is."""
+        for x, (_, y) in self.single.items():
+            if any(c in self.single for c in y):
+                raise ValueError(f"the output of {x!r} is an input again")
+        for name, t in self.table.items():
+            for x, y in t.items():
+                if y in t or y in self.single or len(y) != 1:
+                    raise ValueError(f"the {name} output of {x!r} is an input again")
+        for x, y in self.pairs.items():
+            if y in self.single or self.cluster(y) != y or self.cluster(x) != y:
+                raise ValueError(f"{x!r} is not composed once and for all")
 
     @staticmethod
     def _cjk(text: str, at: int) -> bool:
@@ -106,27 +145,34 @@ class Transducer:
                 plain += 1
         return han > plain
 
-    @staticmethod
-    def _composed(s: str) -> str:
-        """Composed form without the marks that have none."""
-        return "".join(c for c in ud.normalize("NFC", s) if not 0x300 <= ord(c) <= 0x36F)
+    def cluster(self, x: str) -> str:
+        """A character with what hangs on it, in order and composed; marks that have no composed form stay behind their letter.
+
+        Marks without a letter or symbol, and the dot above a letter that has one, show nothing of their own and go.
+        """
+        x = ud.normalize("NFC", "".join(self.single[c][1] if c in self.single else c for c in x))
+        y = self._stray.sub("", x)
+        return ud.normalize("NFC", y) if y != x else x
+
+    _stray = regex.compile(r"(?<![\p{L}\p{M}\p{S}])[\u0300-\u036f]++|(?<=[ij][\u0300-\u036f]*)\u0307")
 
     def _word(self, w: str) -> str:
-        w = ud.normalize("NFC", "".join(self.single[c][1] if c in self.single else c for c in w))
-        inner = [c for c in w if not "LATIN" in ud.name(c, "") and c.isalpha()]
-        latin = [c for c in w if "LATIN" in ud.name(c, "")]
-        if all(ord(c) in self.to_latin for c in inner):
-            y = w.translate(self.to_latin)
+        """Look-alikes go to one script: to Latin if all letters of the others have one there, else the rest goes to the script with most letters."""
+        w = "".join(self.single[c][1] if c in self.single else c for c in w)
+        own = [_script(c) for c in w]
+        foreign = [c for c, k in zip(w, own, strict=True) if k in ("Greek", "Cyrillic")]
+        if all(c in self.table["Latin"] for c in foreign):
+            target = "Latin"
         else:
-            table = self.to_greek if sum("GREEK" in ud.name(c, "") for c in inner) * 2 > len(inner) else self.to_cyrillic
-            y = w.translate(table if all(ord(c) in table for c in latin) else self.to_latin)
-        return self._composed(y)
+            target = max(("Latin", "Greek", "Cyrillic"), key=own.count)
+        t = self.table[target]
+        w = "".join(t.get(c, c) if k != target else c for c, k in zip(w, own, strict=True))
+        return self.clusters.sub(lambda m: self.cluster(m.group()), w)
+
+    clusters = regex.compile(r"\P{M}?\p{M}++")
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
-            return text
-        normal = ud.is_normalized("NFC", text)
-        if normal and not self.need.search(text) and not self.both.search(text):
+        if text.isascii() or ud.is_normalized("NFC", text) and not self.need.search(text) and not self.both.search(text):
             return text
 
         def put(m: regex.Match) -> str:
@@ -137,7 +183,7 @@ class Transducer:
             if kind == "mixed":
                 return self._word(x)
             if kind == "cluster":
-                return self._composed("".join(self.single[c][1] if c in self.single else c for c in x))
+                return self.cluster(x)
             kind, y = self.single[x]
             if kind.startswith("width") and self._cjk(text, m.start()):
                 return x
@@ -145,8 +191,7 @@ class Transducer:
                 return x if not regex.search(rf"[{_LATIN}]", text[max(0, m.start() - 2) : m.end() + 2]) else y
             return y
 
-        out = self.pattern.sub(put, text)
-        return out if normal else ud.normalize("NFC", out)
+        return self.pattern.sub(put, text)
 
     def departs(self, text: str | None) -> bool:
         """Whether the text holds anything that the canonical form has otherwise, full-width punctuation left aside, or a word of mixed scripts, mapped or not."""

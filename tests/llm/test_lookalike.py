@@ -62,3 +62,32 @@ def test_skeleton(spark):
 @pytest.mark.parametrize(("text", "mixed"), [("5 \u03bcg", True), ("Дom", True), ("мα", True), ("βета", True), ("дозаω\u0301", True), ("д\u200bo", True), ("5 \u00b5g", False), ("α-блокатор", False), ("β testi, доза", False), ("ὑγίεια", False)])
 def test_mixed_scripts_whether_mapped_or_not(text, mixed):
     assert transducer().departs(text) == mixed
+
+
+@pytest.mark.parametrize("text", ["\u1eb9\u0301", "m\u0304", "\u025b\u0303", "\u0395\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03acc", "1\ufe0f\u20e3", "\u0915\u093c", "\u00e1\u0327"])
+def test_marks_stay_behind_their_letter(text):
+    """Letters with marks that have no composed form are other letters than those without; words that can't be brought to one script stay."""
+    assert transducer()(text) == text
+
+
+@pytest.mark.parametrize(("text", "canonical"), [(" \u0301", " "), ("1\u0301", "1"), ("\u0301a", "a"), ("i\u0307\u0301", "\u00ed"), ("e\u200b\u0301", "\u00e9"), ("=\u0338", "\u2260"), ("\u1100\u1161\u11a8", "\uac01"), ("\u212b", "\u00c5"), ("a\u0307\u0327", "\u0227\u0327")])
+def test_clusters(text, canonical):
+    assert transducer()(text) == canonical
+    assert transducer().departs(text)
+
+
+def test_every_input_leads_to_a_fixed_point():
+    t = transducer()
+    inputs = [*t.single, *t.pairs, *(x for table in t.table.values() for x in table)]
+    words = [f"ab{x}cd" for x in inputs] + [f"аб{x}вг" for x in inputs] + [f"αβ{x}γδ" for x in inputs]
+    for x in inputs + words:
+        y = t(x)
+        assert t(y) == y and unicodedata.is_normalized("NFC", y), ascii(x)
+
+
+def test_conflicts_are_found(monkeypatch):
+    from spanwise.llm import lookalike
+
+    monkeypatch.setattr(lookalike, "GREEK_LATIN", ("αA", "Aa"))
+    with pytest.raises(ValueError, match="input again"):
+        lookalike.Transducer()
