@@ -32,8 +32,8 @@ from ..plans.lineage import spread
 CYRILLIC_LATIN = ("АВЕЅІЈКМНОРСТУХЎЗГԚԜаеѕіјкорсухһԁԛԝӏгпԍ", "ABESIJKMHOPCTYXY3rQWaesijkopcyxhdqwlrng")
 GREEK_LATIN = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγηικνορτυχω", "ABEZHIKMNOPTYXaynikvoptuxw")
 # The other way round, for words that are Cyrillic or Greek but for a few Latin letters.
-_LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿＡ-Ｚａ-ｚﬀ-ﬆ"
-_OTHER = "Ͱ-ͽͿ-ҁҊ-ԯἀ-῾"
+_LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿＡ-Ｚａ-ｚﬀ-ﬆ\u212a\u212b"
+_OTHER = "Ͱ-ͽͿ-ҁҊ-ԯἀ-῾\u2126"
 _MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃰︠-︯"
 _EMOJI = "\U0001f000-\U0001faff☀-➿⬀-⯿⌀-⏿"
 
@@ -109,14 +109,16 @@ class Transducer:
         inside = f"[{hangs}{nw}]*+"
         # what is not in composed form is told without it
         self.need = regex.compile(f"[{cls(x for x, (k, _) in self.single.items() if k not in ('no-width', 'composed'))}{nw}{_MARKS}]")
-        self.both = regex.compile(f"[{_OTHER}]")
-        emoji = rf"(?![{others}])(?:[0-9#*]\ufe0f?\u20e3|[{_EMOJI}\U0001f3fb-\U0001f3ff]\ufe0f?(?:\u200d[{_EMOJI}]\ufe0f?|[\U0001f3fb-\U0001f3ff]\ufe0f?|[\U000e0020-\U000e007f])*)"
+        self.other = regex.compile("[\u0370-\u052f\u1c80-\u1c8f\u1d26-\u1d2b\u1f00-\u1fff\u2126\u2de0-\u2dff\ua640-\ua69f]")  # all blocks of Greek and Cyrillic
+        emoji = rf"(?:[0-9#*]\ufe0f?\u20e3|[{_EMOJI}\U0001f3fb-\U0001f3ff](?<![{others}])\ufe0f?(?:\u200d[{_EMOJI}]\ufe0f?|[\U0001f3fb-\U0001f3ff]\ufe0f?|[\U000e0020-\U000e007f])*)"
         mixed = rf"(?<![{_LATIN}{_OTHER}])(?:(?:[{_LATIN}]{inside})++[{_OTHER}]|(?:[{_OTHER}]{inside})++[{_LATIN}]){inside}(?:[{_LATIN}{_OTHER}]{inside})*+"
         cluster = rf"[^\s{hangs}{nw}][{nw}]*+[{hangs}][{hangs}{nw}]*+|[{hangs}][{hangs}{nw}]*+"
         latin, greek, cyrillic = (rf"[\p{{L}}&&\p{{Script={x}}}]" for x in ("Latin", "Greek", "Cyrillic"))
         # two letters of a word that stand next to each other in different scripts: so it is in each word that mixes two of the three
         self.scripts = regex.compile(rf"(?V1){latin}{inside}(?:{greek}|{cyrillic})|{greek}{inside}(?:{latin}|{cyrillic})|{cyrillic}{inside}(?:{latin}|{greek})")
-        self.pattern = regex.compile(f"(?P<emoji>{emoji})|(?P<mixed>{mixed})|(?P<cluster>{cluster})|(?P<one>[{others}{nw}])")
+        # in composed text marks of other scripts matter only behind something without width
+        light = rf"[^\s{_MARKS}{nw}](?=[{nw}{_MARKS}])[{nw}]*+[{hangs}][{hangs}{nw}]*+|[{_MARKS}][{_MARKS}{nw}]*+"
+        self.pattern, self.light = (regex.compile(f"(?P<emoji>{emoji})|(?P<mixed>{mixed})|(?P<cluster>{x})|(?P<one>[{others}{nw}])") for x in (cluster, light))
         self._check()
 
     def _check(self) -> None:
@@ -172,9 +174,24 @@ class Transducer:
     clusters = regex.compile(r"\P{M}?\p{M}++")
 
     def __call__(self, text: str) -> str:
-        if text.isascii() or ud.is_normalized("NFC", text) and not self.need.search(text) and not self.both.search(text):
+        if text.isascii():
             return text
-
+        if not ud.is_normalized("NFC", text):
+            return self._walk(self.pattern, text, 0, len(text))
+        spots = [m.start() for m in self.need.finditer(text)]
+        if self.other.search(text):
+            spots += [m.start() for m in self.scripts.finditer(text)]
+        # composed text is walked only where something is, from white space to white space
+        out, done = [], 0
+        for p in sorted(spots):
+            if p >= done:
+                a = max(done, text.rfind(" ", done, p) + 1, text.rfind("\n", done, p) + 1)
+                ends = [e for e in (text.find(" ", p + 1), text.find("\n", p + 1)) if e >= 0]
+                out += [text[done:a], self._walk(self.light, text, a, min(ends, default=len(text)))]
+                done = min(ends, default=len(text))
+        return "".join(out) + text[done:] if out else text
+
+    def _walk(self, pattern: regex.Pattern, text: str, a: int, b: int) -> str:
         def put(m: regex.Match) -> str:
             kind = m.lastgroup
             x = m.group()
@@ -185,19 +202,19 @@ class Transducer:
             if kind == "cluster":
                 return self.cluster(x)
             kind, y = self.single[x]
-            if kind.startswith("width") and self._cjk(text, m.start()):
+            if kind.startswith("width") and self._cjk(text, a + m.start()):
                 return x
             if kind == "width-mark":
-                return x if not regex.search(rf"[{_LATIN}]", text[max(0, m.start() - 2) : m.end() + 2]) else y
+                return x if not regex.search(rf"[{_LATIN}]", text[max(0, a + m.start() - 2) : a + m.end() + 2]) else y
             return y
 
-        return self.pattern.sub(put, text)
+        return pattern.sub(put, text[a:b])
 
     def departs(self, text: str | None) -> bool:
         """Whether the text holds anything that the canonical form has otherwise, full-width punctuation left aside, or a word of mixed scripts, mapped or not."""
         if not text:
             return False
-        if not text.isascii() and self.scripts.search(text):
+        if not text.isascii() and self.other.search(text) and self.scripts.search(text):
             return True
         y = self(text)
         if y == text:
