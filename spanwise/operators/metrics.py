@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..plans.lineage import cut
 
 KS = (1, 3, 5, 10)
 
@@ -19,16 +20,21 @@ def relevant_chunks(chunks: DataFrame, gold: DataFrame) -> DataFrame:
 
 def total_relevant(chunks: DataFrame, gold: DataFrame) -> DataFrame:
     """M2: (qid, total_relevant) for every question, retrieved or not."""
-    n = relevant_chunks(chunks, gold).distinct().groupBy("qid").agg(F.count("*").cast("int").alias("n"))
+    return _totals(relevant_chunks(chunks, gold).distinct(), gold)
+
+
+def _totals(rel: DataFrame, gold: DataFrame) -> DataFrame:
+    n = rel.groupBy("qid").agg(F.count("*").cast("int").alias("n"))
     return gold.select("qid").distinct().join(n, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("total_relevant"))
 
 
 def per_query(hits: DataFrame, chunks: DataFrame, gold: DataFrame) -> DataFrame:
-    """M2-M3: (qid, total_relevant, relevance ARRAY<BOOLEAN> in rank order)."""
-    rel = relevant_chunks(chunks, gold).distinct().withColumn("rel", F.lit(True))
-    marked = hits.join(rel, ["qid", "doc_id", "chunk_no"], "left").select("qid", "rank", F.coalesce("rel", F.lit(False)).alias("rel"))
+    """M2-M3: (qid, total_relevant, relevance ARRAY<BOOLEAN> in rank order); relevance is worked out once, for both."""
+    rel = cut(relevant_chunks(chunks, gold).distinct())
+    marked = hits.join(rel.withColumn("rel", F.lit(True)), ["qid", "doc_id", "chunk_no"], "left").select("qid", "rank", F.coalesce("rel", F.lit(False)).alias("rel"))
     arrays = marked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "rel"))).alias("r"))  # at most k entries
-    return total_relevant(chunks, gold).join(arrays, "qid", "left").select("qid", "total_relevant", F.coalesce(F.transform("r", lambda x: x["rel"]), F.array().cast("array<boolean>")).alias("relevance"))
+    total = _totals(rel, gold)
+    return total.join(arrays, "qid", "left").select("qid", "total_relevant", F.coalesce(F.transform("r", lambda x: x["rel"]), F.array().cast("array<boolean>")).alias("relevance"))
 
 
 def _hits(rel: Column, k: int) -> Column:
@@ -90,20 +96,35 @@ def summarise(records: DataFrame, by: list[str], names: tuple[str, ...] | None =
     return records.groupBy(*by).agg(F.count("*").alias("queries"), F.count_if(ok).alias("scored"), *means)
 
 
+def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(__g, value, __lo, __hi, __n): each distinct value of a group with the places it takes in the group's order, from __lo to before __hi, of __n.
+
+    No task holds a group: equal values are counted first, the counts are cut into ranges of (group, value) over all
+    partitions, and only one row per group and partition is summed up across them.
+    """
+    v = df.where(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("__g"), value).agg(F.count("*").alias("__c"))
+    v = cut(v.repartitionByRange("__g", value).withColumn("__p", F.spark_partition_id()))
+    part = v.groupBy("__g", "__p").agg(F.sum("__c").alias("__s"))
+    before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumns({"__b": F.coalesce(F.sum("__s").over(before), F.lit(0)), "__n": F.sum("__s").over(Window.partitionBy("__g"))}).drop("__s")
+    inside = Window.partitionBy("__g", "__p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.col("__b") + F.sum("__c").over(inside)
+    return v.join(part, ["__g", "__p"]).select("__g", value, (hi - F.col("__c")).alias("__lo"), hi.alias("__hi"), "__n")
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """Nearest-rank percentiles (half to even); ranks are counted by a window, nothing is collected. Nulls are left out."""
-    v = df.where(F.col(value).isNotNull())
-    n = v.groupBy(*by).agg(F.count("*").alias("__n"), *[F.least(F.bround(F.lit(p / 100.0) * F.count("*") + F.lit(0.5)).cast("long") - 1, F.count("*") - 1).alias(f"__i{p}") for p in ps])
-    r = v.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).join(n, by)
-    return r.groupBy(*by).agg(*[F.max(F.when(F.col("__r") == F.greatest(F.col(f"__i{p}"), F.lit(0)), F.col(value))).alias(f"p{p}") for p in ps])
+    """Nearest-rank percentiles (half to even). Nulls are left out; a null group is a group."""
+    n = F.col("__n")
+    at = {p: F.greatest(F.lit(0), F.least(F.bround(F.lit(p / 100.0) * n + F.lit(0.5)).cast("long") - 1, n - 1)) for p in ps}
+    r = _ranked(df, by, value)
+    g = r.groupBy("__g").agg(*[F.max(F.when((F.col("__lo") <= i) & (i < F.col("__hi")), F.col(value))).alias(f"p{p}") for p, i in at.items()])
+    return g.select("__g.*", *[f"p{p}" for p in ps])
 
 
 def load_percentile(df: DataFrame, by: list[str], value: str, p: int) -> DataFrame:
     """The other rule, index round(p/100 (n-1))."""
-    v = df.where(F.col(value).isNotNull())
-    n = v.groupBy(*by).agg(F.bround(F.lit(p / 100.0) * (F.count("*") - 1)).cast("long").alias("__i"))
-    r = v.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).join(n, by)
-    return r.where(F.col("__r") == F.col("__i")).select(*by, F.col(value).alias(f"p{p}"))
+    i = F.bround(F.lit(p / 100.0) * (F.col("__n") - 1)).cast("long")
+    return _ranked(df, by, value).where((F.col("__lo") <= i) & (i < F.col("__hi"))).select("__g.*", F.col(value).alias(f"p{p}"))
 
 
 def unknown_documents(gold: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_ascii, is_shouting, nfc, turkish_lower, upper_first
+from .retrieval import small
 
 WORD = r"[\p{L}\p{M}]+"
 
@@ -32,9 +33,11 @@ def normalise_questions(questions: DataFrame, vocab: DataFrame, text: str = "que
     q = questions.select("qid", text).distinct().withColumn("t", F.replace(nfc(F.col(text)), F.lit("i̇"), F.lit("i")))
     q = q.withColumn("t", F.when(is_shouting(F.col("t")), turkish_lower(F.col("t"))).otherwise(F.col("t")))
     p = q.select("qid", text, F.posexplode_outer(_pieces(F.col("t"))).alias("pos", "w"))
-    can = F.col("w").rlike(r"^[A-Za-z]{3,}$")
-    p = p.withColumn("fold", F.when(can, fold_ascii(turkish_lower(F.col("w")))))
-    j = p.join(vocab, "fold", "left")
+    p = p.withColumn("fold", F.when(F.col("w").rlike(r"^[A-Za-z]{3,}$"), fold_ascii(turkish_lower(F.col("w")))))
+    # each word is looked up once; separators and words that can't be restored take no part in any join on words
+    known = small(p.where("fold is not null").select("fold").distinct().join(vocab, "fold"))
+    can = p.where("fold is not null").join(known, "fold", "left")
+    j = can.unionByName(p.where("fold is null").withColumn("form", F.lit(None).cast("string")))
     back = F.when(F.col("w").rlike(r"^\p{Lu}"), upper_first(F.col("form"))).otherwise(F.col("form"))
     j = j.withColumn("out", F.when(F.col("form").isNotNull() & (fold_ascii(back) == F.col("w")), back).otherwise(F.col("w")))
     g = j.groupBy("qid", text).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,17 @@ LOCK_VERSION = 1
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """A1: one row ``fingerprint``, independent of row order, of texts and ids only. One line per document meets in one task: up to about 10^7 documents; beyond, ``fingerprint_tree``."""
+    """A1: one row ``fingerprint``, independent of row order, of texts and ids only.
+
+    The digest runs over all documents' lines in order, so they pass the driver one sorted partition at a time, and none
+    but the present one is held. It is worked out at the call. ``fingerprint_tree`` has no such serial part.
+    """
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), text_digest(F.coalesce("text", F.lit(""))))
-    return docs.select(line.alias("l")).agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256)).alias("fingerprint"))
+    digest, first = hashlib.sha256(), True
+    for r in docs.select(line.alias("l")).where("l is not null").orderBy("l").toLocalIterator():
+        digest.update(("" if first else "\n").encode() + r["l"].encode())
+        first = False
+    return docs.sparkSession.createDataFrame([("sha256:" + digest.hexdigest(),)], "fingerprint string")
 
 
 def fingerprint_tree(docs: DataFrame, buckets: int = 4096) -> DataFrame:

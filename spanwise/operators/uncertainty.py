@@ -29,7 +29,11 @@ def interval(values: np.ndarray, confidence: float = 0.95, resamples: int = RESA
 
 
 def bootstrap_ci(df: DataFrame, by: list[str], value: str, order: list[str], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """B1: (by, n, mean, low, high). The order inside a group fixes the draws."""
+    """B1: (by, n, mean, low, high). The order inside a group fixes the draws.
+
+    numpy's stream is serial, so a group's values (one double per question) are one task's: up to about 10^8 questions a
+    run. Beyond that ``bootstrap_sql`` spreads the rows of a group.
+    """
     kinds = dict(df.dtypes)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
