@@ -68,8 +68,11 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, altered: int = 2,
         .select("__d", "__i", (F.col("__dp") - F.col("__p")).alias("__g"))
         .distinct()
     )
-    # count bound: so many shingles of the item on that diagonal within one window
-    on = hits.join(side(places), "__h").select("__d", "__i", (F.col("__dp") - F.col("__p")).alias("__g"), "__dp").distinct()
+    found = cut(found)
+    # count bound: so many shingles of the item on that diagonal within one window; looked up at the places where the
+    # diagonals found so far would have them, so a common shingle meets no item that has no rare one there
+    want = found.join(side(places), "__i").select("__d", "__i", "__g", (F.col("__p") + F.col("__g")).alias("__dp"), "__h")
+    on = want.join(hits.select("__d", "__dp", "__h"), ["__d", "__dp", "__h"]).select("__d", "__i", "__g", "__dp").distinct()
     line = Window.partitionBy("__d", "__i", "__g").orderBy("__dp")
     dense = on.withColumn("__far", F.lead("__dp", need - 1).over(line) - F.col("__dp")).where(F.col("__far") < inside).select("__d", "__i", "__g").distinct()
     pairs = cut(found.join(dense, ["__d", "__i", "__g"]).groupBy("__d").agg(F.collect_set(F.struct("__i", "__g")).alias("__x")))
