@@ -26,7 +26,7 @@ from ..plans.lineage import cut, spread
 from .lookalike import skeleton_words
 
 SHINGLE = 3
-#: item shingles, or places looked up, up to which that side is broadcast; beyond, the join shuffles
+#: item shingles, or diagonals, up to which that side is broadcast; beyond, the join shuffles
 BROADCAST_ROWS = 2_000_000
 #: candidate documents up to which their ids are broadcast to the texts; beyond, the join shuffles
 BROADCAST_PAIRS = 200_000
@@ -69,11 +69,14 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 12, altered: int = 2,
         .distinct()
     )
     found = cut(found)
-    # count bound: so many shingles of the item on that diagonal within one window; looked up at the places where the
-    # diagonals found so far would have them, so a common shingle meets no item that has no rare one there
-    want = found.join(side(places), "__i").select("__d", "__i", "__g", (F.col("__p") + F.col("__g")).alias("__dp"), "__h")
-    want = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
-    on = want.join(hits.select("__d", "__dp", "__h"), ["__d", "__dp", "__h"]).select("__d", "__i", "__g", "__dp").distinct()
+    # count bound: so many shingles of the item on that diagonal within one window. Few diagonals are broadcast and filter
+    # the hits as they are joined, without a shuffle; many are looked up at the places where they would have a shingle,
+    # so that a common shingle meets no item that has no rare one there
+    if small and found.count() <= BROADCAST_ROWS:
+        on = hits.join(side(places), "__h").select("__d", "__i", (F.col("__dp") - F.col("__p")).alias("__g"), "__dp").join(F.broadcast(found), ["__d", "__i", "__g"], "left_semi").distinct()
+    else:
+        want = found.join(side(places), "__i").select("__d", "__i", "__g", (F.col("__p") + F.col("__g")).alias("__dp"), "__h")
+        on = want.join(hits.select("__d", "__dp", "__h"), ["__d", "__dp", "__h"]).select("__d", "__i", "__g", "__dp").distinct()
     line = Window.partitionBy("__d", "__i", "__g").orderBy("__dp")
     dense = on.withColumn("__far", F.lead("__dp", need - 1).over(line) - F.col("__dp")).where(F.col("__far") < inside).select("__d", "__i", "__g").distinct()
     pairs = cut(found.join(dense, ["__d", "__i", "__g"]).groupBy("__d").agg(F.collect_set(F.struct("__i", "__g")).alias("__x")))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from spanwise.llm import contamination
 from spanwise.llm.contamination import leaks
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "pa", "re", "si", "to", "vu") for b in ("dan", "ker", "lim", "mos", "nor")]
@@ -38,7 +39,9 @@ def case():
     return docs, items
 
 
-def test_against_brute_force(spark, case):
+@pytest.mark.parametrize("rows", [contamination.BROADCAST_ROWS, 0])
+def test_against_brute_force(spark, case, rows, monkeypatch):
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", rows)
     docs, items = case
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
