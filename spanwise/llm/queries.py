@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, where: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, where: str) -> DataFrame:
     votes, _, _ = consensus.consensus(_table(spark, where, "gold"))
-    return votes.where(~F.col("agreed")).select(F.col("root").alias("root_qid"), "qid").distinct()
+    return votes.where(~F.col("agreed") & (F.col("records") >= 3)).select(F.col("root").alias("root_qid"), "qid").distinct()
 
 
 def p3_items(spark: SparkSession, where: str) -> DataFrame:
