@@ -1,95 +1,157 @@
-"""Records that share most of their words, without comparing all pairs: token-combination prefixes.
-
-Two word sets with Jaccard similarity t or more have, for n words of the one, at least ceil(t n)
-words in common. Ordered by rarity (rarest first), each set's first ``n - ceil(t n) + k`` words
-therefore hold k common ones. The index takes from that extended prefix
-
-* each rare word (in at most ``RARE`` sets) by itself, and
-* each combination of ``COMBO`` (3) of its frequent words.
-
-A similar pair meets in one of them: of three common words one is rare, or all are frequent. Keys
-that are still crowded (more than ``CROWDED`` sets) are replaced for their members by combinations
-of ``LONG_COMBO`` (5) words of a prefix extended accordingly; sets of so few words that a partner may lack five common ones
-keep the short ones. Candidates pass the length bound and are verified exactly. No key is dropped or capped.
+"""Records that share most of their words, without comparing all pairs: paths of common words.
+
+Two word sets of n and l words with Jaccard similarity t or more have at least
+o(n, l) = ceil((n + l) t / (1 + t)) words in common. All sets are put into one order of words (rarest
+first); the first j common words of a pair are then a path of j words in both sets, and each set lacks
+at most n - o(n, l) of its words before the path's end. A set's index keys are its paths that lack no
+more than the least l of the table asks; a path ends as soon as no more than ``RARE`` sets are expected
+to have all its words, so rare words stand alone or in twos and frequent ones in longer paths. As words go together
+in texts, that expectation may fail: members of a key that more than ``CROWDED`` sets really
+have are told apart by one common word more, again and again; a pair that needs no more common words than the path
+has is similar and taken as it is. No key is dropped or capped.
+
+Candidates must have room for enough common words behind the path, and their signatures (64 bits, one
+flipped by each word) must not differ in more bits than the sets may differ in words; both bounds
+are safe. What is left is verified exactly.
 
 Sets that are equal are one class: only class representatives are compared, members are joined back.
 
 Defined results: null and empty texts and texts without letters and digits have no partner; repeated
-rows (same id) count once; ties in rarity are broken by the word; extra columns are ignored.
+rows (same id) count once; ties in rarity are broken by the word's hash; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, spread
 from .lookalike import skeleton_words
 
-RARE, COMBO, LONG_COMBO, CROWDED = 8, 3, 5, 256
-
-
-def _combos(words: str, k: int) -> Column:
-    """Hashes of all k-combinations of an ordered array, in its order."""
-
-    def deeper(rest: Column, left: int, seed: Column) -> Column:
-        if left == 1:
-            return F.transform(rest, lambda w: F.xxhash64(seed, w))
-        return F.flatten(F.transform(rest, lambda w, i: deeper(F.slice(rest, i + 2, F.size(rest)), left - 1, F.xxhash64(seed, w))))
-
-    return deeper(F.col(words), k, F.lit(k).cast("bigint"))
+#: expected sets of a path that ends, sets of a key that is split further
+RARE, CROWDED = 32, 256
+#: words of a path at most, before its key has turned out to be crowded
+DEEPEST = 6
+#: words whose frequency is told apart: this many at most, and only those that more than one set of 2 ** BITS has
+LISTED, BITS = 4096, 12
+SLACK = 1e-6
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Classes (cid, words) of equal word sets, and membership (key, cid); cid is the least key of the class."""
-    w = df.select(F.col(key).alias("__k"), F.array_sort(F.array_distinct(skeleton_words(F.col(text)))).alias("words")).distinct().where(F.size("words") > 0)
-    w = w.withColumn("__h", F.sha2(F.array_join("words", " "), 256))
-    # min and any_value are combined before the shuffle, so that one class may hold a third of the rows
-    classes = cut(w.groupBy("__h").agg(F.min("__k").alias("cid"), F.min("words").alias("words")))
-    members = w.select("__k", "__h").join(classes.select("__h", "cid"), "__h").select(F.col("__k").alias(key), "cid")
-    return classes.select("cid", "words"), members
+    w = spread(df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))).select("__k", F.array_join(F.array_sort(F.array_distinct(skeleton_words(F.col("__t")))), " ").alias("__s"))
+    w = cut(w.select("__k", "__s", F.xxhash64("__s").alias("__h"), F.xxhash64(F.lit(1), "__s").alias("__i"))).where(F.col("__s") != "")  # texts are worked out once
+    # min is combined before the shuffle, so that one class may hold a third of the rows
+    classes = cut(w.groupBy("__h", "__i").agg(F.min("__k").alias("cid"), F.min("__s").alias("__s")))
+    members = w.select("__k", "__h", "__i").join(classes.select("__h", "__i", "cid"), ["__h", "__i"]).select(F.col("__k").alias(key), "cid").distinct()
+    return classes.select("cid", F.split("__s", " ").alias("words")), members
+
+
+def _ranked(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, least, w, b, s): of each class its number, its words (hashes, rarest first), the bits that tell how rare they are, its signature; ``least`` is the fewest common words it may need."""
+    total = max(1, classes.count())
+    counts = classes.select(F.explode_outer("words").alias("w")).groupBy("w").count()
+    often = counts.where(F.col("count") * 2**BITS > total).orderBy(F.desc("count"), "w").limit(LISTED).collect()
+    levels: dict[int, list[str]] = {}
+    for r in often:
+        levels.setdefault(round(math.log2(total / r["count"])), []).append(r["w"])
+    rest = max(levels) if len(often) == LISTED else BITS
+
+    def bits(w: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(0))
+        for b, words in sorted(levels.items()):
+            out = out.when(w.isin(words), F.lit(b))
+        return out.otherwise(F.lit(rest))
+
+    r = classes.select("id", F.array_sort(F.transform("words", lambda w: F.struct((-bits(w)).alias("b"), F.xxhash64(w).alias("w")))).alias("r"))
+    r = r.select("id", F.size("r").alias("n"), F.transform("r", lambda x: -x["b"]).alias("b"), F.transform("r", lambda x: x["w"]).alias("w"))
+    sizes = cut(classes.select(F.size("words").alias("n")).distinct())
+    small = sizes.select(F.col("n").alias("l")).join(F.broadcast(sizes), (F.col("l") <= F.col("n")) & (F.col("l") >= F.col("n") * F.lit(threshold) - F.lit(SLACK)))
+    need = small.groupBy("n").agg(F.min("l").alias("l")).select("n", _need(F.col("n") + F.col("l"), threshold).alias("least"))
+    signature = F.expr("aggregate(w, 0L, (a, x) -> a ^ shiftleft(1L, cast(pmod(x, 64) as int)))")
+    return r.join(F.broadcast(need), "n").select("id", "n", "least", "w", "b", signature.alias("s"))
+
+
+def _need(both: Column, threshold: float) -> Column:
+    """Common words of a similar pair of so many words together, at least."""
+    return F.ceil(both * F.lit(threshold / (1 + threshold)) - F.lit(SLACK)).cast("int")
+
+
+def _paths(enough: float) -> Column:
+    """Array of (key, room, depth): a set's paths; room is the most common words a pair can have whose first ones are the path."""
+    n, lacks = F.col("n"), F.col("n") - F.col("least")
+    leaves = "array<struct<key:bigint,room:int,depth:int>>"
+
+    def deeper(depth: int, start: Column, seed: Column, bits: Column) -> Column:
+        last = F.least(n - 1, lacks + depth - 1)
+
+        def step(i: Column) -> Column:
+            h, b = F.xxhash64(seed, F.get("w", i)), bits + F.get("b", i)
+            leaf = F.array(F.struct(h.alias("key"), (n - i + depth - 1).alias("room"), F.lit(depth).alias("depth"))).cast(leaves)
+            if depth == DEEPEST:
+                return leaf
+            more = deeper(depth + 1, i + 1, h, b)
+            # a set that may need no more common words than these may end here, too
+            return F.when(b >= enough, leaf).when(F.col("least") <= depth, F.concat(leaf, more)).otherwise(more)
+
+        return F.flatten(F.transform(F.when(start <= last, F.sequence(start, last)).otherwise(F.array().cast("array<int>")), step))
+
+    return deeper(1, F.lit(0), F.lit(0).cast("bigint"), F.lit(0))
+
+
+def candidates(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b), a < b: pairs of ``id`` that hold all similar ones; ``classes`` has id and words."""
+    ranked = _ranked(classes, threshold)
+    enough = math.log2(max(1, classes.count()) / RARE)
+    rows = ranked.select("id", "n", "s", F.explode_outer(_paths(enough)).alias("k")).select("id", "n", "s", "k.key", "k.room", "k.depth")
+    most = (1 + threshold) / threshold  # words of a similar pair for each common one
+    by_key = Window.partitionBy("key")
+    found = []
+    while True:
+        # sets of a key whose smallest is too large for them have no partner there
+        alive = rows.withColumn("low", F.min("n").over(by_key)).where(F.col("n") + F.col("low") <= F.col("room") * F.lit(most) + F.lit(SLACK)).withColumn("c", F.count("*").over(by_key)).where(F.col("c") > 1).drop("low")
+        calm = alive.where(F.col("c") <= CROWDED)
+        a, b = (calm.select("key", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "n", "s", "room", "depth")]) for side in "ab")
+        both = F.col("n_a") + F.col("n_b")
+        need = _need(both, threshold)
+        near = (F.least("room_a", "room_b") >= need) & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= both - 2 * need)
+        same = F.col("depth_a") - F.col("depth_b") == 0  # always so; read here, too, all columns make one exchange for the three uses of the keys
+        pairs = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & near & same).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        # one job for both, so that keys are worked out and shuffled once
+        nothing = {x: F.lit(None).cast(t) for x, t in (("id", "bigint"), ("n", "int"), ("s", "bigint"), ("key", "bigint"), ("room", "int"), ("depth", "int"))}
+        crowded = alive.where(F.col("c") > CROWDED).select(*[F.lit(None).cast("bigint").alias(x) for x in "ab"], *nothing)
+        level = cut(pairs.withColumns(nothing).unionByName(crowded))
+        found.append(level.where(F.col("a").isNotNull()).select("a", "b"))
+        left = level.where(F.col("key").isNotNull()).drop("a", "b")
+        if left.isEmpty():
+            break
+        wide = left.join(ranked.select("id", "least", "w"), "id")
+        # pairs that need no more common words than they have: the smaller one by its size, the larger one by the sizes that would do
+        full = wide.where(F.col("least") <= F.col("depth"))
+        fits = F.filter(F.sequence(F.ceil(F.col("n") * F.lit(threshold) - F.lit(SLACK)).cast("int"), F.col("n")), lambda x: _need(F.col("n") + x, threshold) <= F.col("depth"))
+        larger = full.select("key", F.col("id").alias("y"), F.explode(fits).alias("l"))
+        smaller = full.select("key", F.col("id").alias("x"), F.col("n").alias("l"))
+        found.append(cut(smaller.join(larger, ["key", "l"]).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+        start, last = F.col("n") - F.col("room") + F.col("depth"), F.least(F.col("n") - 1, F.col("n") - F.col("least") + F.col("depth"))
+        rows = wide.where(start <= last).select("id", "n", "s", "key", "depth", "w", F.explode(F.sequence(start, last)).alias("i"))
+        rows = rows.select("id", "n", "s", F.xxhash64("key", F.get("w", F.col("i"))).alias("key"), (F.col("n") - F.col("i") + F.col("depth")).alias("room"), (F.col("depth") + 1).alias("depth"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def similar_sets(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity), a < b: classes whose sets are similar."""
-    counts = classes.select(F.explode_outer("words").alias("w")).groupBy("w").count()
-    ranked = (
-        classes.where(F.size("words") >= 3)  # smaller sets are similar only to equal ones at 0.7 and more
-        .select("cid", F.explode_outer("words").alias("w"))
-        .join(counts, "w")
-        .groupBy("cid")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("count").alias("c"), "w"))).alias("r"))
-    )
-    if threshold < 2 / 3:
-        raise ValueError("thresholds below 2/3 need prefixes for sets of two words")
-    n = F.size("r")
-    base = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    ranked = cut(ranked.select("cid", n.alias("n"), F.slice("r", 1, base + COMBO).alias("p"), F.slice("r", 1, base + LONG_COMBO).alias("q")))
-    rare = F.transform(F.filter("p", lambda x: x["c"] <= RARE), lambda x: F.xxhash64(F.lit(1).cast("bigint"), x["w"]))
-    frequent = ranked.withColumn("f", F.transform(F.filter("p", lambda x: x["c"] > RARE), lambda x: x["w"]))
-    short = frequent.select("cid", "n", F.explode_outer(F.concat(rare, F.when(F.size("f") >= COMBO, _combos("f", COMBO)).otherwise(F.array().cast("array<bigint>")))).alias("key"))
-    short = cut(short.distinct())
-    load = short.groupBy("key").count().where(F.col("count") > 1)
-    live = short.join(load, "key")  # keys that only one set has make no candidate
-    least_long = math.ceil(LONG_COMBO / threshold - 1e-9)
-    crowded = live.where((F.col("count") > CROWDED) & (F.col("n") >= least_long))
-    long = (
-        ranked.join(crowded.select("cid").distinct(), "cid", "left_semi")
-        .withColumn("g", F.transform("q", lambda x: x["w"]))
-        .where(F.size("g") >= LONG_COMBO)
-        .select("cid", "n", F.explode_outer(_combos("g", LONG_COMBO)).alias("key"))
-    )
-    calm = live.where((F.col("count") <= CROWDED) | (F.col("n") < least_long + math.ceil(least_long * (1 / threshold - 1)) + 1)).select("cid", "n", "key")
-    keys = calm.unionByName(long)
-    a, b = keys.select(F.col("cid").alias("a"), F.col("n").alias("na"), "key"), keys.select(F.col("cid").alias("b"), F.col("n").alias("nb"), "key")
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    wa, wb = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa")), classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
+    named = cut(classes.select("cid", F.array_join("words", " ").alias("s"), F.monotonically_increasing_id().alias("id")))
+    pairs = candidates(named.select("id", F.split("s", " ").alias("words")), threshold)
+    a, b = (named.select(F.col("id").alias(x), F.col("cid").alias(f"c{x}"), F.split("s", " ").alias(f"w{x}")) for x in "ab")
     both = F.size(F.array_intersect("wa", "wb"))
     sim = both / (F.size("wa") + F.size("wb") - both)
-    return pairs.join(wa, "a").join(wb, "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= F.lit(threshold) - F.lit(1e-9))
+    near = pairs.join(a, "a").join(b, "b").select("ca", "cb", sim.alias("similarity")).where(F.col("similarity") >= F.lit(threshold) - F.lit(1e-9))
+    return near.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "similarity")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:

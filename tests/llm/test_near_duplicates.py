@@ -49,3 +49,23 @@ def test_groups_and_defined_results(spark):
     assert got == {"a": ("a", 1), "b": ("a", 1), "c": ("a", 1), "g": ("g", 0)}
     links, members = nd.near_duplicates(df.limit(0), "qid", "question", 0.7)
     assert nd.all_pairs(links, members, "qid").count() == 0
+
+
+def test_short_crowded_sets_are_told_apart(spark, monkeypatch):
+    """Sets under 13 words with many words in common once met in keys that were never split further, all with all."""
+    monkeypatch.setattr(nd, "CROWDED", 8)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(8)]
+    data = [(i, sorted({*common, *(f"w{rng.randrange(60)}" for _ in range(4))})) for i in range(300)]
+    classes = spark.createDataFrame(data, "id long, words array<string>")
+    got = {tuple(r) for r in nd.candidates(classes).collect()}
+    want = {(a, b) for a, x in data for b, y in data if a < b and jaccard(set(x), set(y)) >= 0.7 - 1e-9}
+    assert want and want <= got and len(got) <= 2 * len(want) < 300 * 299 / 8
+
+
+def test_low_thresholds(spark):
+    data = rows(80, 5, size=(0, 7))
+    links, members = nd.near_duplicates(spark.createDataFrame(data, "qid string, question string"), "qid", "question", 0.5)
+    sets = {k: set(v.split()) for k, v in data}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.5 - 1e-9}
+    assert {tuple(r) for r in nd.all_pairs(links, members, "qid").collect()} == want and want
