@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESAMPLES, SEED = 10_000, 20260921
+#: parts of the unit interval that weights are drawn from; keys and resamples drawn at a time
+DRAWS = 1_000_003
+KEYS, SPAN = 256, 500
 
 
 def interval(values: np.ndarray, confidence: float = 0.95, resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float, float]:
@@ -46,17 +51,95 @@ def bootstrap_ci(df: DataFrame, by: list[str], value: str, order: list[str], res
     return df.where(F.col(value).isNotNull()).select(*by, *[o for o in order if o not in by], value).groupBy(*by).applyInPandas(run, schema)
 
 
-def bootstrap_sql(df: DataFrame, by: list[str], value: str, key: str, resamples: int = RESAMPLES) -> DataFrame:
-    """B1 without numpy's stream: Poisson(1) weights drawn from hashes of (key, resample), distributed over rows; any group size."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("b")), F.lit(1_000_003)) + F.lit(0.5)) / F.lit(1_000_003.0)
-    # inverse of the Poisson(1) distribution, as far as the figures above reach (fixed values by rule)
-    w, total, term = F.lit(0), 0.0, float(np.exp(-1.0))
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def _weights(seeds: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of (key, resample): ``xxhash64(key, b)`` as Spark has it, for the keys' own hashes (one after another) and resamples b, through the inverse of the distribution."""
+    p1, p2, p3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    h = (seeds.astype(np.int64).view(np.uint64) + np.uint64((0x27D4EB2F165667C5 + 4) % 2**64))[:, None] ^ (b.astype(np.uint64) * p1)
+    h = _rotated(h, 23) * p2 + p3
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    h ^= h >> np.uint64(32)
+    h = h.view(np.int64)
+    return _INVERSE[h - h // DRAWS * DRAWS]
+
+
+def _inverse() -> np.ndarray:
+    """Weight of each remainder: inverse of the Poisson(1) distribution, as far as a figure of DRAWS parts reaches (fixed values by rule)."""
+    u = (np.arange(DRAWS) + 0.5) / float(DRAWS)
+    w, total, term = np.zeros(DRAWS), 0.0, float(np.exp(-1.0))
     for i in range(1, 12):
         total += term
-        w = w + F.when(u > total, 1).otherwise(0)
+        w += u > total
         term /= i
-    draws = df.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", w)
-    means = draws.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w").cast("double")).alias("m"))
+    return w
+
+
+_INVERSE = _inverse()
+
+
+def bootstrap_sql(df: DataFrame, by: list[str], value: str, key: str, resamples: int = RESAMPLES) -> DataFrame:
+    """B1 without numpy's stream: Poisson(1) weights drawn from hashes of (key, resample), distributed over rows; any group size.
+
+    A key's weights are the same in all groups, so they are drawn once per key in a task, for a block of resamples at a
+    time, and multiplied with the values of all groups; only sums per group, resample and task are shuffled.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.xxhash64(key).alias("__h"), F.col(value).cast("double").alias("v"))
+    # all rows of a key in one task; no more tasks than cores, as each gives a row per group and resample
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "__h")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: dict[tuple, int] = {}
+        sums: list[np.ndarray] = []
+        held: list[pd.DataFrame] = []
+        count = 0
+
+        def add() -> None:
+            p = pd.concat(held)
+            held.clear()
+            code, kind = pd.factorize(pd.MultiIndex.from_frame(p[by])) if len(by) > 1 else pd.factorize(p[by[0]], use_na_sentinel=False)
+            place = []
+            for x in kind:
+                x = x if isinstance(x, tuple) else (x,)
+                x = tuple(None if pd.isna(y) else y for y in x)
+                if x not in names:
+                    names[x] = len(names)
+                    sums.append(np.zeros((2, resamples)))
+                place.append(names[x])
+            at, seeds = pd.factorize(p["__h"].to_numpy())
+            v = p["v"].to_numpy()
+            for i in range(0, len(seeds), KEYS):
+                mine = np.flatnonzero((at >= i) & (at < i + KEYS))
+                own, groups = np.unique(code[mine], return_inverse=True)
+                m = np.zeros((2, len(own), min(KEYS, len(seeds) - i)))
+                np.add.at(m[0], (groups, at[mine] - i), v[mine])
+                np.add.at(m[1], (groups, at[mine] - i), 1.0)
+                m = m.reshape(2 * len(own), -1)
+                for j in range(0, resamples, SPAN):
+                    b = np.arange(j + 1, min(resamples, j + SPAN) + 1)
+                    both = (m @ _weights(seeds[i : i + KEYS], b)).reshape(2, len(own), -1)
+                    for x, g in enumerate(own):
+                        sums[place[g]][:, j : j + SPAN] += both[:, x]
+
+        for p in parts:
+            held.append(p)
+            count += len(p)
+            if count >= 50_000:
+                add()
+                count = 0
+        if held:
+            add()
+        for name, i in names.items():
+            yield pd.DataFrame({**{k: pd.Series([x] * resamples, dtype="object") for k, x in zip(by, name, strict=True)}, "b": np.arange(1, resamples + 1, dtype=np.int32), "vw": sums[i][0], "w": sums[i][1]})
+
+    drawn = rows.mapInPandas(run, ", ".join([*(f"`{x}` {kinds[x]}" for x in by), "b int, vw double, w double"]))
+    means = drawn.groupBy(*by, "b").agg(F.try_divide(F.sum("vw"), F.sum("w")).alias("m"))
     return means.groupBy(*by).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
