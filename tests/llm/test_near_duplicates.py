@@ -69,3 +69,9 @@ def test_low_thresholds(spark):
     sets = {k: set(v.split()) for k, v in data}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.5 - 1e-9}
     assert {tuple(r) for r in nd.all_pairs(links, members, "qid").collect()} == want and want
+
+
+def test_paths_are_one_expression_whatever_their_depth(spark):
+    one = spark.createDataFrame([(1, 3, 2, [5, 6, 7], [9, 3, 1])], "id long, n int, least int, w array<bigint>, b array<int>")
+    plan = one.select(nd._paths(4.0).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lambdafunction") <= 2 * nd.DEEPEST
